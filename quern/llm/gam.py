@@ -156,11 +156,11 @@ def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text", id
     """
     prepare(docs.sparkSession)
 
-    def look_up(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
             yield pd.Series(1 / (1 + np.exp(-model.score([c.to_numpy(dtype=float) for c in columns]))))
 
-    scored = F.pandas_udf(look_up, "double", F.PandasUDFType.SCALAR_ITER)
     stats = text_features(docs, [quoted(id_col).alias("doc_id")], text_col)
     return stats.select("doc_id", scored(*FEATURES).alias("quality")).select("doc_id", "quality", (F.col("quality") >= keep_at).alias("keep"))
 

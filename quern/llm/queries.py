@@ -95,9 +95,9 @@ WITH RECURSIVE g AS (
 ), o AS (
   SELECT key, size, row_number() OVER (ORDER BY size DESC, key) AS rn FROM g
 ), lpt AS (
-  SELECT 0::BIGINT AS rn, list_transform(range({sharding.SHARDS}), x -> 0::BIGINT) AS loads, ''::VARCHAR AS key, -1::INT AS shard
+  SELECT 0::BIGINT AS rn, list_transform(range({sharding.SHARDS}), lambda x: 0::BIGINT) AS loads, ''::VARCHAR AS key, -1::INT AS shard
   UNION ALL
-  SELECT o.rn, list_transform(range({sharding.SHARDS}), x -> loads[x + 1] + CASE WHEN x + 1 = list_position(loads, list_min(loads)) THEN o.size ELSE 0 END),
+  SELECT o.rn, list_transform(range({sharding.SHARDS}), lambda x: loads[x + 1] + CASE WHEN x + 1 = list_position(loads, list_min(loads)) THEN o.size ELSE 0 END),
     o.key, (list_position(loads, list_min(loads)) - 1)::INT
   FROM lpt JOIN o ON o.rn = lpt.rn + 1
 )
@@ -107,7 +107,7 @@ SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.shard FROM documents d J
 
 def _canonical(url: str) -> str:
     part = lambda i: f"regexp_extract(trim({url}), '{urls.PARTS}', {i})"
-    kept = f"list_sort(list_filter(string_split({part(5)}, '&'), p -> p <> '' AND NOT regexp_matches(p, '{urls.TRACKING}')))"
+    kept = f"list_sort(list_filter(string_split({part(5)}, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '{urls.TRACKING}')))"
     host = f"regexp_replace(lower({part(2)}), '^www[.]', '')"
     path = f"regexp_replace(regexp_replace({part(4)}, '/index[.]html?$', '/'), '/+$', '')"
     return f"""CASE WHEN {host} <> '' THEN {host}

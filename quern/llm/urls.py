@@ -40,8 +40,10 @@ def canonical_url(url: Column) -> Column:
 
 
 def _bits(hashed: Column) -> list[Column]:
-    low = hashed.bitwiseAND(F.lit(0xFFFFFFFF))
-    return [F.shiftleft(F.lit(1), F.shiftrightunsigned((low * F.lit(s)).bitwiseAND(F.lit(0xFFFFFFFF)), 27).cast("int")) for s in SALTS]
+    """One bit for each word of the block, as Parquet's filters choose it; 31 bits keep the products in range."""
+    low = hashed.bitwiseAND(F.lit(0x7FFFFFFF))
+    places = [F.shiftrightunsigned((low * F.lit(s)).bitwiseAND(F.lit(0xFFFFFFFF)), 27).cast("int") for s in SALTS]
+    return [F.call_function("shiftleft", F.lit(1), p) for p in places]
 
 
 def _block(hashed: Column, n_blocks: int) -> Column:
