@@ -16,7 +16,7 @@ FEATURES = (
     "upper_ratio",
     "digit_ratio",
     "stop_per_word",
-    "unique_ratio",
+    "variety",
     "repeat_ratio",
     "lines_per_word",
 )
@@ -27,7 +27,11 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def text_features(docs: DataFrame, keep: list[Column], text_col: str = "text") -> DataFrame:
-    """The columns of keep and the FEATURES, doubles without nulls; all 0 for a null or empty text."""
+    """The columns of keep and the FEATURES, doubles without nulls; all 0 for a null or empty text.
+
+    variety is the logarithm of the distinct words over that of all words, which, unlike their
+    ratio, hardly depends on a text's length.
+    """
     t = text_of(text_col)
     plain = lambda c: (F.length(t) - F.length(F.replace(t, F.lit(c)))).cast("double")
     counted = docs.select(
@@ -56,7 +60,7 @@ def text_features(docs: DataFrame, keep: list[Column], text_col: str = "text") -
         by("__upper", "__chars").alias("upper_ratio"),
         by("__digits", "__chars").alias("digit_ratio"),
         by("__stops", "words").alias("stop_per_word"),
-        F.least(by("__unique", "words"), F.lit(1.0)).alias("unique_ratio"),
+        F.when(F.col("words") > 1, F.least(F.log("__unique") / F.log("words"), F.lit(1.0))).otherwise(F.least("words", F.lit(1.0))).alias("variety"),
         by("__repeats", "words").alias("repeat_ratio"),
         by("__lines", "words").alias("lines_per_word"),
     )

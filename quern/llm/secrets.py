@@ -19,13 +19,23 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import prepare, quoted
 
-#: Letters in the ranges that a bounded sample of words is taken from, to make identifiers of.
+#: Identifiers are made of at most so many words of the corpus, and of words that programs use.
 TRAIN_WORDS = 4_000
 TRAIN_SAMPLES = 6_000
 SEED = 11
 #: Findings have so many characters at least.
 MIN_CHARS = 16
 CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
+PROGRAM_WORDS = (
+    "abstract account action adapter address array async base batch block body buffer builder bytes cache callback channel check class client code column command"
+    " config connection container content context controller count create cursor data database date default delete device document element entry error event exception"
+    " executor factory field file filter format frame function get group handler header host id image index info input instance interface item job key layer length"
+    " level list listener load local lock manager map max message method min mode model module name network node number object offset option order output packet page"
+    " param parser path pattern pool port process profile provider proxy query queue read reader record reference registry request resource response result retry role"
+    " root route row rule schema scope search section select server service session set size socket source spec stack start state status step storage store stream"
+    " string system table target task template test text thread time timeout token transaction type unit update upload url user util value version view widget window"
+    " worker wrapper write writer"
+).split()
 _TOKEN = r"[A-Za-z0-9+/_\-]{%d,}={0,2}"
 _AT = np.full(256, -1, dtype=np.int16)
 for _i, _c in enumerate(CHARS):
@@ -88,7 +98,7 @@ def labelled_samples(words: list[str], n: int = TRAIN_SAMPLES, seed: int = SEED)
     rng = np.random.default_rng(seed)
     upper, lower, digits = CHARS[:26], CHARS[26:52], CHARS[52:62]
     alphabets = ("0123456789abcdef", "0123456789ABCDEF", upper + digits, upper + "234567", lower + digits, upper + lower + digits, CHARS[:64])
-    words = words or ["value", "index", "handler", "request", "buffer", "name", "count", "user"]
+    words = [*words, *PROGRAM_WORDS * max(1, len(words) // len(PROGRAM_WORDS))]
     out: list[tuple[str, bool]] = []
     for i in range(n):
         a = alphabets[i % len(alphabets)]
