@@ -27,6 +27,8 @@ EDIT_RATE = 0.06
 SPAN = 400
 #: Items are indexed so many characters at a time; a longer benchmark takes several passes.
 INDEX_CHARS = 4_000_000
+#: Shared q-grams of a text are counted about so many at a time.
+HITS = 1_000_000
 
 _BASE = 0x9E3779B1
 
@@ -58,6 +60,14 @@ def locate(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int,
     """(start, end, edits) of the place in text nearest to the pattern, the first of equals, if its
     edits are at most `most`: a bit-parallel alignment (Myers) whose ends in the text are free."""
     m = len(pattern)
+    if pattern.dtype == text.dtype:
+        size = pattern.dtype.itemsize
+        raw, whole = pattern.tobytes(), text.tobytes()
+        same = whole.find(raw)
+        while same % size and same >= 0:
+            same = whole.find(raw, same + 1)
+        if same >= 0:
+            return same // size, same // size + m, 0
     end, best = _ends(pattern.tolist(), text.tolist(), m, most)
     if end < 0:
         return None
@@ -94,7 +104,8 @@ class Index:
 
     items: list
     windows: list[np.ndarray]
-    item_of: np.ndarray
+    items_of: list[list[int]]
+    lengths: np.ndarray
     edits: np.ndarray
     bound: np.ndarray
     keys: np.ndarray
@@ -107,8 +118,8 @@ class Index:
 
 
 def build_index(items: list[tuple], *, q: int = Q, rate: float = EDIT_RATE, span: int = SPAN) -> Index:
+    owners: dict[tuple[bytes, str], list[int]] = {}
     windows: list[np.ndarray] = []
-    owner: list[int] = []
     for k, (_, text) in enumerate(items):
         p = normal(text or "")
         starts = [0]
@@ -116,10 +127,14 @@ def build_index(items: list[tuple], *, q: int = Q, rate: float = EDIT_RATE, span
         if size > span:
             size = span // 2
             starts = sorted({*range(0, len(p) - size, size // 2), len(p) - size})
-        for s in starts:
-            if budget(size, q, rate) >= 0:
-                windows.append(p[s : s + size])
-                owner.append(k)
+        for s in starts if budget(size, q, rate) >= 0 else ():
+            w = p[s : s + size]
+            name = (w.tobytes(), w.dtype.str)
+            if name not in owners:
+                windows.append(w)
+            of = owners.setdefault(name, [])
+            if not of or of[-1] != k:
+                of.append(k)
     lengths = np.array([len(w) for w in windows], dtype=np.int64)
     edits = np.array([budget(m, q, rate) for m in lengths], dtype=np.int64)
     hashes = [qgrams(w, q) for w in windows]
@@ -131,48 +146,63 @@ def build_index(items: list[tuple], *, q: int = Q, rate: float = EDIT_RATE, span
     bits = int(min(26, max(10, np.ceil(np.log2(max(1, len(keys)) * 32)))))
     seen = np.zeros(1 << bits, dtype=bool)
     seen[keys >> np.uint32(32 - bits)] = True
-    return Index([i for i, _ in items], windows, np.array(owner, dtype=np.int64), edits, lengths + 1 - q * (edits + 1), keys, np.append(first, len(flat)), window_of[order], place_of[order], bits, seen, q)
+    return Index([i for i, _ in items], windows, list(owners.values()), lengths, edits, lengths + 1 - q * (edits + 1), keys, np.append(first, len(flat)), window_of[order], place_of[order], bits, seen, q)
 
 
-def find_leaks(text: str, index: Index) -> list[tuple[int, int, int, int]]:
-    """(number of the item, start, end, edits) of each passage; spans are of the source text, and
-    overlapping ones of an item are joined."""
-    if not len(index.keys):
-        return []
-    p = normal(text)
+def _bands(p: np.ndarray, index: Index) -> np.ndarray:
+    """Codes (window, band) of the bands of diagonals that share enough q-grams with the text, in order."""
+    none = np.empty(0, dtype=np.int64)
     h = qgrams(p, index.q)
     pos = np.flatnonzero(index.seen.take(h >> np.uint32(32 - index.bits)))
     if not len(pos):
-        return []
+        return none
     k = np.searchsorted(index.keys, h[pos])
     k[k == len(index.keys)] = 0
     real = index.keys[k] == h[pos]
     pos, k = pos[real], k[real]
     n = index.first[k + 1] - index.first[k]
-    if not n.sum():
+    until = np.cumsum(n)
+    reach = int((2 * (index.edits + 1) + index.lengths).max())
+    found, lo = [none], 0
+    while lo < len(pos):
+        # all bands that begin before pos[cut], with all of their q-grams
+        cut = max(lo + 1, int(np.searchsorted(until, (until[lo - 1] if lo else 0) + HITS)))
+        hi = len(pos) if cut >= len(pos) else int(np.searchsorted(pos, pos[cut] + reach))
+        m = n[lo:hi]
+        entry = np.repeat(index.first[k[lo:hi]] - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum())
+        window = index.window_of[entry]
+        diagonal = np.repeat(pos[lo:hi], m) - index.place_of[entry]
+        code = (window << 40) + diagonal // (index.edits[window] + 1) + (1 << 20)
+        codes, counts = np.unique(np.concatenate((code, code - 1)), return_counts=True)
+        found.append(codes[counts >= index.bound[codes >> 40]])
+        lo = cut
+    return np.unique(np.concatenate(found))
+
+
+def find_leaks(text: str, index: Index) -> list[tuple[int, int, int, int]]:
+    """(number of the item, start, end, edits) of each passage; spans are of the source text. Of
+    overlapping places of a window the first counts; overlapping windows of an item are joined."""
+    if not len(index.keys):
         return []
-    entry = np.repeat(index.first[k] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    window = index.window_of[entry]
-    diagonal = np.repeat(pos, n) - index.place_of[entry]
-    band = diagonal // (index.edits[window] + 1) + (1 << 20)
-    code = np.concatenate((window << 40 | band, window << 40 | (band - 1)))
-    codes, counts = np.unique(code, return_counts=True)
-    codes = codes[counts >= index.bound[codes >> 40]]
+    p = normal(text)
+    codes = _bands(p, index)
     if not len(codes):
         return []
     _, at = normal_places(text)
     found: list[tuple[int, int, int, int]] = []
-    w_last, hi_last = -1, -1
+    last, done = -1, 0
     for c in codes.tolist():
         w, b = c >> 40, (c & ((1 << 40) - 1)) - (1 << 20)
         e, pattern = int(index.edits[w]), index.windows[w]
-        lo, hi = max(0, b * (e + 1) - e), min(len(p), (b + 2) * (e + 1) + len(pattern) + e)
-        if w == w_last and hi <= hi_last:
+        if w != last:
+            last, done = w, 0
+        if (b + 2) * (e + 1) + e <= done:
             continue
+        lo, hi = max(0, b * (e + 1) - e), min(len(p), (b + 2) * (e + 1) + len(pattern) + e)
         if place := locate(pattern, p[lo:hi], e):
-            w_last, hi_last = w, lo + place[1]
-            start, end = lo + place[0], lo + place[1]
-            found.append((int(index.item_of[w]), int(at[start]), int(at[end - 1]) + 1, place[2]))
+            start, end, edits = lo + place[0], lo + place[1], place[2]
+            done = max(done, end)
+            found += [(k, int(at[start]), int(at[end - 1]) + 1, edits) for k in index.items_of[w]]
     found.sort()
     out: list[tuple[int, int, int, int]] = []
     for item, start, end, edits in found:
@@ -199,7 +229,7 @@ def indexes(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "t
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", index_chars: int = INDEX_CHARS, **how) -> DataFrame:
     """Rows (doc_id, item_id, start, end, edits), one for each passage of docs that is an item, or
-    a window of a long one, within the edit budget.
+    windows of a long one, within the edit budget; of overlapping places of a window the first.
 
     start and end count characters of the text from 0, end not included. A null or empty text has
     none; items without a text, or with fewer normal characters than a q-gram, are not sought;

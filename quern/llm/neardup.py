@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACE, fits, mix, normal, prepare, quoted, settle
+from quern.llm.common import SPACE, fits, free_name, mix, normal, prepare, quoted, settle
 
 K = 3
 L = 3
@@ -329,6 +329,7 @@ def near_duplicates(docs: DataFrame, *, least: float = MIN_SIMILARITY, id_col: s
 
 def drop_near_duplicates(docs: DataFrame, *, least: float = MIN_SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that near_duplicates reports; all columns stay, and so do null ids."""
-    gone = near_duplicates(docs, least=least, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__gone"))
+    name = free_name(docs.columns, "__gone")
+    gone = near_duplicates(docs, least=least, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias(name))
     gone = F.broadcast(gone) if fits(gone, BROADCAST_IDS) else gone
-    return docs.join(gone, quoted(id_col) == F.col("__gone"), "left_anti")
+    return docs.join(gone, quoted(id_col) == quoted(name), "left_anti")

@@ -60,7 +60,7 @@ _ONE = re.compile(_WORD, re.I)
 _OPEN, _CLOSE = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
 _BRACKET = re.compile(rf"{_OPEN}(?:(at|@|arroba|arobase|ät)|(dot|\.|punkt|punto|point)){_CLOSE}", re.I)
 #: Bare spellings count only where a whole address follows: name at host dot name.
-_BARE = re.compile(r"(?<![\w.])[\w.+\-]+([ \t]+(?:at|@|arroba)[ \t]+)[\w\-]+(?:(?:[ \t]+(?:dot|punkt|punto|point)[ \t]+|[ \t]*\.[ \t]*)[\w\-]+)*[ \t]+(?:dot|punkt|punto|point)[ \t]+[a-z]{2,}(?!\w)", re.I)
+_BARE = re.compile(r"(?<![\w.])[\w.+\-]+([ \t]+(?:at|@|arroba)[ \t]+)(?!(?:the|an?|this|that|our|your|my|his|her|its|their)\b)[\w\-]+(?:(?:[ \t]+(?:dot|punkt|punto|point)[ \t]+|[ \t]*\.[ \t]*)[\w\-]+)*[ \t]+(?:dot|punkt|punto|point)[ \t]+[a-z]{2,}(?!\w)", re.I)
 _BARE_DOT = re.compile(r"[ \t]+(?:dot|punkt|punto|point)[ \t]+|[ \t]*\.[ \t]*", re.I)
 _AT_DOT = re.compile(r"@[\w\-]+(?:(?:[ \t]+(?:dot|punkt|punto|point)[ \t]+|\.)[\w\-]+)*[ \t]+(?:dot|punkt|punto|point)[ \t]+[a-z]{2,}(?!\w)", re.I)
 
