@@ -7,10 +7,11 @@ texts share a sketch with a probability that falls with their edit distance, not
 the k-mers they share. Texts that share a sketch are aligned word by word in a band as wide as
 the edits allowed; those that pass are linked, and linked texts form groups.
 
-No pair is dropped for a bucket's size. Exact copies are joined by hash. In each bucket every
-text is first aligned with the least id, which settles large groups in linear work; afterwards
-the groups that still share a bucket are compared by one member each, pair by pair, behind a
-lower bound of their edit distance from word counts.
+Work stays linear in what the sketches hold, however large a bucket is, and no bucket is cut.
+Exact copies are joined by hash. In each bucket every text is paired with the one of least id,
+which settles large groups; then the groups that still share a bucket are lined up by length, by
+one member each, and paired with their neighbours, which finds what stands behind a passage that
+many texts share. Pairs whose lengths or word counts rule them out never fetch their texts.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import SPACE, fits, free_name, mix, normal, prepare, quoted, settle
 
-K = 3
-L = 3
-SKETCHES = 64
+#: Short k-mers and many of them in a sketch: texts that merely share passages rarely share a
+#: sketch, near copies share one in five.
+K = 2
+L = 7
+SKETCHES = 128
 #: Least edit similarity of near copies: 1 - edits / words of the longer text.
 MIN_SIMILARITY = 0.75
-#: Word counts are kept in so many classes for the lower bound.
+#: Words are counted in so many classes, up to 255 in each, for a lower bound of the edits.
 CLASSES = 128
 SEED = 5
 
@@ -183,15 +185,26 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
 
 
+def word_counts(words: np.ndarray) -> bytes:
+    return np.minimum(np.bincount(words % CLASSES, minlength=CLASSES), 255).astype(np.uint8).tobytes()
+
+
+def least_edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edits that rows of word counts differ by at least."""
+    d = a.astype(np.int16) - b
+    return np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1))
+
+
 def sketch_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, h1, h2, sketch) for each text with words: 128 bits that equal word sequences share, and its sketches."""
+    """Rows (id, n, h1, h2, counts, sketch) for each text with words: how many there are, 128 bits that
+    equal word sequences share, word counts by class, and sketches."""
     texts = _texts(docs, id_col, text_col)
     id_type = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = multipliers(SKETCHES)
         for batch in batches:
-            at, whole, parts = [], [], []
+            at, size, whole, counts, parts = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
                 words = word_hashes(text.as_py())
                 if not len(words):
@@ -199,27 +212,43 @@ def sketch_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 n = np.arange(1, len(words) + 1, dtype=np.uint64)
                 wide = words.astype(np.uint64)
                 whole.append(((wide * (n * np.uint64(_BASE) | np.uint64(1))).sum(), ((wide + n) * (wide + np.uint64(_BASE)) ^ n).sum()))
+                counts.append(word_counts(words))
                 parts.append(sketches(labelled_kmers(words), factors))
                 at.append(i)
+                size.append(len(words))
             both = np.array(whole, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             flat = (np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * SKETCHES, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), lists], names=["id", "h1", "h2", "sketch"])
+            columns = [batch.column(0).take(pa.array(at, pa.int32())), pa.array(size, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(counts, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "h1", "h2", "counts", "sketch"])
 
-    return texts.mapInArrow(run, f"id {id_type}, h1 bigint, h2 bigint, sketch array<bigint>")
+    return texts.mapInArrow(run, f"id {id_type}, n int, h1 bigint, h2 bigint, counts binary, sketch array<bigint>")
 
 
 def _word_table(texts: DataFrame) -> DataFrame:
-    """Rows (id, words, counts): 32-bit word hashes in order, and how many words fall in each class (255: or more)."""
+    """Rows (id, words): 32-bit word hashes in order."""
     id_type = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [word_hashes(t.as_py()) for t in batch.column(1)]
-            counts = [np.bincount(w % CLASSES, minlength=CLASSES).astype(np.uint32).tobytes() for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.tobytes() for w in words], pa.binary()), pa.array(counts, pa.binary())], names=["id", "words", "counts"])
+            words = [word_hashes(t.as_py()).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], names=["id", "words"])
+
+    return texts.mapInArrow(run, f"id {id_type}, words binary")
 
-    return texts.mapInArrow(run, f"id {id_type}, words binary, counts binary")
+
+def _plausible(pairs: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that word counts do not rule out."""
+    of = lambda side: counts.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("counts").alias(f"c{side}"))
+    id_type = pairs.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.maximum(batch.column("na").to_numpy(), batch.column("nb").to_numpy())
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, CLASSES) for c in ("ca", "cb"))
+            yield batch.select(["a", "b"]).filter(pa.array(least_edits(a, b) <= (1 - least) * n + 1e-9))
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
 
 
 def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
@@ -252,44 +281,6 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def close_pairs(rows: pd.DataFrame, least: float) -> list[tuple]:
-    """Pairs of the rows (id, counts) of a bucket that word counts do not rule out."""
-    ids = rows["id"].tolist()
-    c = np.stack([np.frombuffer(x, dtype=np.uint32).astype(np.int32) for x in rows["counts"]])
-    n, out = c.sum(1), []
-    for i in range(len(ids) - 1):
-        over = np.maximum(c[i] - c[i + 1 :], 0).sum(1)
-        bound = np.maximum(over, over + n[i + 1 :] - n[i])
-        for k in np.flatnonzero(bound <= (1 - least) * np.maximum(n[i], n[i + 1 :]) + 1e-9).tolist():
-            a, b = ids[i], ids[i + 1 + k]
-            out.append((a, b) if a < b else (b, a))
-    return out
-
-
-def _pairs_in_buckets(rows: DataFrame, least: float) -> DataFrame:
-    """All close pairs of rows (key, id, counts) that share a key."""
-    id_type = rows.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry: pd.DataFrame | None = None
-        for pdf in batches:
-            pdf = pdf if carry is None else pd.concat([carry, pdf], ignore_index=True)
-            last = pdf["key"].iloc[-1] if len(pdf) else None
-            carry = pdf[pdf["key"] == last]
-            yield of(pdf[pdf["key"] != last])
-        if carry is not None:
-            yield of(carry)
-
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = pdf["key"].to_numpy()
-        cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])) if len(keys) else [0]
-        found = [p for lo, hi in zip(cuts, cuts[1:]) if hi - lo > 1 for p in close_pairs(pdf.iloc[lo:hi], least)]
-        return pd.DataFrame(list(dict.fromkeys(found)), columns=["a", "b"]).astype({"a": pdf["id"].dtype, "b": pdf["id"].dtype})
-
-    sorted_ = rows.repartition("key").sortWithinPartitions("key", "id")
-    return sorted_.mapInPandas(run, f"a {id_type}, b {id_type}").distinct()
-
-
 #: A table of more ids than this is joined by shuffle, not broadcast.
 BROADCAST_IDS = 2_000_000
 
@@ -309,22 +300,32 @@ def near_duplicates(docs: DataFrame, *, least: float = MIN_SIMILARITY, id_col: s
         sketched = keep(sketch_table(docs, id_col=id_col, text_col=text_col))
         copies = keep(sketched.select("id", F.min("id").over(W.partitionBy("h1", "h2")).alias("root")).where("id <> root").distinct())
         by_key = W.partitionBy("key")
-        exploded = sketched.select("id", F.posexplode("sketch").alias("band", "part")).select("id", F.xxhash64("band", "part").alias("key"))
-        shared = exploded.withColumn("rep", F.min("id").over(by_key)).withColumn("top", F.max("id").over(by_key)).where("rep < top").select("key", "rep", "id")
-        buckets = keep(shared.join(copies.select("id").distinct(), "id", "left_anti").distinct())
-        ids = buckets.select("id").distinct()
-        ids = F.broadcast(ids) if fits(ids, BROADCAST_IDS) else ids
-        words = keep(_word_table(_texts(docs, id_col, text_col).join(ids, "id", "left_semi")))
-        star = keep(buckets.where("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct())
-        links = keep(_verified(star, words, least))
+        exploded = sketched.select("id", "n", F.posexplode("sketch").alias("band", "part")).select("id", "n", F.xxhash64("band", "part").alias("key"))
+        shared = exploded.withColumn("rep", F.min(F.struct("id", "n")).over(by_key)).withColumn("top", F.max("id").over(by_key)).where("rep.id < top")
+        lone = copies.select("id").distinct()
+        lone = F.broadcast(lone) if fits(lone, BROADCAST_IDS) else lone
+        buckets = keep(shared.select("key", "rep", "id", "n").join(lone, "id", "left_anti").distinct())
+
+        def linked(pairs: DataFrame) -> DataFrame:
+            likely = keep(_plausible(pairs, counts, least))
+            ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            ids = F.broadcast(ids) if fits(ids, BROADCAST_IDS) else ids
+            words = keep(_word_table(_texts(docs, id_col, text_col).join(ids, "id", "left_semi")))
+            return keep(_verified(likely, words, least))
+
+        close = lambda x, y: F.abs(x - y) <= F.lit(1 - least) * F.greatest(x, y) + F.lit(1e-9)
+        counts = sketched.select("id", "n", "counts")
+        star = buckets.where(close(F.col("n"), F.col("rep.n"))).where("rep.id < id").select(F.col("rep.id").alias("a"), F.col("id").alias("b")).distinct()
+        links = linked(star)
         groups = components(links)
-        rooted = buckets.join(groups, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        members = rooted.groupBy("key", "root").agg(F.min("id").alias("id"))
-        apart = members.withColumn("n", F.count("*").over(by_key)).where("n > 1").select("key", "id")
-        rest = _pairs_in_buckets(apart.join(words.select("id", "counts"), "id"), least).join(star, ["a", "b"], "left_anti")
-        more = keep(_verified(rest, words, least))
-        linked = links.unionByName(more).unionByName(copies.select(F.col("root").alias("a"), F.col("id").alias("b")))
-        return components(linked).select(F.col("id").alias("doc_id"), F.col("root").alias("duplicate_of")).checkpoint()
+        rooted = buckets.join(groups, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+        members = rooted.groupBy("key", "root").agg(F.min(F.struct("n", "id")).alias("m")).select("key", "m.*")
+        line = by_key.orderBy("n", "id")
+        beside = members.withColumn("p", F.lag(F.struct("id", "n")).over(line)).where(F.col("p").isNotNull())
+        beside = beside.where(close(F.col("n"), F.col("p.n"))).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
+        more = linked(beside.where("a < b").distinct().join(star, ["a", "b"], "left_anti"))
+        every = links.unionByName(more).unionByName(copies.select(F.col("root").alias("a"), F.col("id").alias("b")))
+        return components(every).select(F.col("id").alias("doc_id"), F.col("root").alias("duplicate_of")).checkpoint()
 
 
 def drop_near_duplicates(docs: DataFrame, *, least: float = MIN_SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

