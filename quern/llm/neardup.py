@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from quern.llm.common import SPACE, fits, free_name, mix, normal, prepare, quoted, settle
 
 #: Short k-mers and many of them in a sketch: texts that merely share passages rarely share a
-#: sketch, near copies share one in five.
+#: sketch, near copies share one in thirty or more.
 K = 2
-L = 7
-SKETCHES = 128
+L = 5
+SKETCHES = 64
 #: Least edit similarity of near copies: 1 - edits / words of the longer text.
 MIN_SIMILARITY = 0.75
-#: Words are counted in so many classes, up to 255 in each, for a lower bound of the edits.
-CLASSES = 128
+#: Words are counted in so many classes, up to 3 in each, for a lower bound of the edits.
+CLASSES = 512
 SEED = 5
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -46,7 +46,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, 1 << 16)
         inverse = pow(_BASE, -1, 1 << 64)
-        _POWERS[:] = [np.cumprod(np.concatenate(([1], np.full(size - 1, b, dtype=np.uint64))).astype(np.uint64)) for b in (_BASE, inverse)]
+        powers = []
+        for b in (_BASE, inverse):
+            factors = np.full(size, b, dtype=np.uint64)
+            factors[0] = 1
+            powers.append(np.cumprod(factors))
+        _POWERS[:] = powers
     return _POWERS[0], _POWERS[1]
 
 
@@ -111,17 +116,19 @@ def sketches(kmers: np.ndarray, factors: np.ndarray, l: int = L) -> np.ndarray:
 
 
 def _least(h: np.ndarray, l: int) -> np.ndarray:
-    """Columns of the l least numbers of each row; only those under a bound that a dozen pass are sorted, where that is enough."""
+    """Columns of the l least numbers of each row. Only numbers under a bound that about 4 l pass
+    are sorted; a row of which fewer than l pass is sorted whole."""
     m, n = h.shape
-    if n > 64:
-        row, col = np.nonzero(h < np.uint32(min(0xFFFFFFFF, (14 << 32) // n)))
-        per = np.bincount(row, minlength=m)
-        if per.min() >= l:
-            key = (row.astype(np.uint64) << np.uint64(32)) | h[row, col]
-            order = np.argsort(key, kind="stable")
-            first = np.concatenate(([0], np.cumsum(per)[:-1]))
-            return col[order[first[:, None] + np.arange(l)]]
-    return np.argsort(h, axis=1, kind="stable")[:, :l]
+    if n <= 16 * l:
+        return np.argsort(h, axis=1, kind="stable")[:, :l]
+    row, col = np.nonzero(h < np.uint32((4 * l << 32) // n))
+    order = np.argsort((row.astype(np.uint64) << np.uint64(32)) | h[row, col], kind="stable")
+    per = np.bincount(row, minlength=m)
+    first = np.concatenate(([0], np.cumsum(per)[:-1]))
+    out = col[order[np.minimum(first[:, None] + np.arange(l), len(order) - 1)]]
+    for i in np.flatnonzero(per < l):
+        out[i] = np.argsort(h[i], kind="stable")[:l]
+    return out
 
 
 def within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -186,18 +193,29 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def word_counts(words: np.ndarray) -> bytes:
-    return np.minimum(np.bincount(words % CLASSES, minlength=CLASSES), 255).astype(np.uint8).tobytes()
+    """Two bits for each class, four classes to a byte."""
+    c = np.minimum(np.bincount(words % CLASSES, minlength=CLASSES), 3).astype(np.uint8).reshape(-1, 4)
+    return (c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6).tobytes()
+
+
+def _excess() -> np.ndarray:
+    """How much the four counts of one byte exceed those of another, all told."""
+    c = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int8)
+    return np.maximum(c[:, None, :] - c[None, :, :], 0).sum(2).astype(np.uint8).reshape(-1)
+
+
+_EXCESS = _excess()
 
 
 def least_edits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Edits that rows of word counts differ by at least."""
-    d = a.astype(np.int16) - b
-    return np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1))
+    """Edits that rows of packed word counts differ by at least."""
+    wide, other = a.astype(np.uint16), b.astype(np.uint16)
+    return np.maximum(_EXCESS[wide << 8 | other].sum(1, dtype=np.int64), _EXCESS[other << 8 | wide].sum(1, dtype=np.int64))
 
 
 def sketch_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n, h1, h2, counts, sketch) for each text with words: how many there are, 128 bits that
-    equal word sequences share, word counts by class, and sketches."""
+    equal word sequences share, packed word counts, and sketches."""
     texts = _texts(docs, id_col, text_col)
     id_type = texts.schema["id"].dataType.simpleString()
 
@@ -245,8 +263,10 @@ def _plausible(pairs: DataFrame, counts: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.maximum(batch.column("na").to_numpy(), batch.column("nb").to_numpy())
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, CLASSES) for c in ("ca", "cb"))
-            yield batch.select(["a", "b"]).filter(pa.array(least_edits(a, b) <= (1 - least) * n + 1e-9))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, CLASSES // 4) for c in ("ca", "cb"))
+            step = 4096
+            bound = np.concatenate([least_edits(a[i : i + step], b[i : i + step]) for i in range(0, max(1, len(a)), step)])
+            yield batch.select(["a", "b"]).filter(pa.array(bound <= (1 - least) * n + 1e-9))
 
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
 

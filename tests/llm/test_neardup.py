@@ -58,6 +58,12 @@ def test_band_alignment_equals_full_alignment():
             assert N.within(a, np.array(b, dtype=np.int64), most) == (d if d <= most else None)
 
 
+def test_words_have_hashes_of_their_own():
+    words = [f"{a}{b}" for a in ("x", "yz", "été") for b in range(500)]
+    h = N.word_hashes(" ".join(words + ["привет"] + words))
+    assert len(set(h.tolist())) == 1501 and (h[:1500] == h[1501:]).all()
+
+
 def test_sketches_see_order_and_occurrence():
     f = N.multipliers(N.SKETCHES)
     sketch = lambda s: set(N.sketches(N.labelled_kmers(N.word_hashes(s)), f).tolist())
