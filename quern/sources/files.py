@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     """
     base = Path(root).resolve().as_uri() if "://" not in root else root.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    inside = F.substring_index(F.col("path"), base.split("://", 1)[1] + "/", -1)
+    inside = F.substring_index(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), unquote(base.split(":", 1)[1].lstrip("/")) + "/", -1)
     return found.select(inside.alias("path"), "content", F.col("length").alias("len"), F.col("modificationTime").alias("mtime"))
 
 
