@@ -22,12 +22,16 @@ KEY_MAGIC = b"QRNKEY"
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """Files below root as rows (path, content, len, mtime), path being relative to it.
 
-    Listing and reading are Spark's: with len and mtime alone no content is read.
+    Listing and reading are Spark's: with len and mtime alone no content is read. The reader gives
+    no row for an empty file, so those are taken from its listing; their mtime is null.
     """
     base = Path(root).resolve().as_uri() if "://" not in root else root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    inside = F.substring_index(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), unquote(base.split(":", 1)[1].lstrip("/")) + "/", -1)
-    return found.select(inside.alias("path"), "content", F.col("length").alias("len"), F.col("modificationTime").alias("mtime"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(unquote(base) if base.startswith("file:") else base)
+    inside = lambda c: F.substring_index(c, unquote(base.split(":", 1)[1].lstrip("/")) + "/", -1)
+    rows = found.select(inside(F.col("path")).alias("path"), "content", F.col("length").alias("len"), F.col("modificationTime").alias("mtime"))
+    listed = spark.createDataFrame([(unquote(f),) for f in found.inputFiles()], "path string").select(inside(F.col("path")).alias("path"))
+    empty = listed.join(rows.select("path"), "path", "left_anti")
+    return rows.unionByName(empty.select("path", F.lit(b"").alias("content"), F.lit(0).cast("bigint").alias("len"), F.lit(None).cast("timestamp").alias("mtime")))
 
 
 def check_sources(root: str, sources: DataFrame) -> None:
