@@ -7,11 +7,10 @@ texts share a sketch with a probability that falls with their edit distance, not
 the k-mers they share. Texts that share a sketch are aligned word by word in a band as wide as
 the edits allowed; those that pass are linked, and linked texts form groups.
 
-Work stays linear in what the sketches hold, however large a bucket is, and no bucket is cut.
-Exact copies are joined by hash. In each bucket every text is paired with the one of least id,
-which settles large groups; then the groups that still share a bucket are lined up by length, by
-one member each, and paired with their neighbours, which finds what stands behind a passage that
-many texts share. Pairs whose lengths or word counts rule them out never fetch their texts.
+No pair is dropped for a bucket's size. Exact copies are joined by hash. In each bucket every
+text is paired with the one of least id, which settles large groups in linear work; then all
+texts that still share a bucket but no group are compared, pair by pair, in a stream ordered by
+length. Pairs whose lengths or word counts rule them out never leave the stream, nor fetch texts.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,6 +36,8 @@ MIN_SIMILARITY = 0.75
 #: Words are counted in so many classes, up to 3 in each, for a lower bound of the edits.
 CLASSES = 512
 SEED = 5
+#: Pairs of a bucket are compared by word counts so many at a time.
+PAIRS = 1 << 14
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
@@ -271,6 +273,46 @@ def _plausible(pairs: DataFrame, counts: DataFrame, least: float) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
 
 
+def _apart(rows: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of the rows (key, id, n, root, counts) that share a key but no root, and that
+    neither lengths nor word counts rule out. Each bucket is streamed in order of length; only the
+    rows that a longer text may still be close to are held."""
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table, new = pa.Table.from_batches([batch]), 0
+            if held is not None:
+                table, new = pa.concat_tables([held, table]).combine_chunks(), held.num_rows
+            key, n, root, ids = (table.column(c).to_numpy() for c in ("key", "n", "root", "id"))
+            n = n.astype(np.int64)
+            counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.uint8).reshape(-1, CLASSES // 4)
+            bucket = np.cumsum(np.concatenate(([0], key[1:] != key[:-1]))) << 32
+            # of each row, the first in its bucket that is long enough
+            first = np.searchsorted(bucket + n, bucket + np.ceil(n - ((1 - least) * n + 1e-9)).astype(np.int64))
+            held = table.slice(first[-1])
+            until = np.cumsum(np.arange(new, len(n)) - first[new:])
+            for lo in range(0, int(until[-1]), PAIRS):
+                pair = np.arange(lo, min(lo + PAIRS, int(until[-1])))
+                at = np.searchsorted(until, pair, side="right")
+                j = at + new
+                i = j - (until[at] - pair)
+                other = np.flatnonzero(root[i] != root[j])
+                i, j = i[other], j[other]
+                near = least_edits(counts[i], counts[j]) <= (1 - least) * n[j] + 1e-9
+                i, j = pa.array(i[near]), pa.array(j[near])
+                if len(i):
+                    swap = pa.array(ids[i] > ids[j])
+                    x, y = (table.column("id").take(k).combine_chunks() for k in (i, j))
+                    yield pa.RecordBatch.from_arrays([pc.if_else(swap, y, x), pc.if_else(swap, x, y)], names=["a", "b"])
+
+    ordered = rows.select("key", "n", "id", "root", "counts").repartition("key").sortWithinPartitions("key", "n", "id")
+    return ordered.mapInArrow(run, f"a {id_type}, b {id_type}").where("a < b").distinct()
+
+
 def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
     of = lambda side: words.select(F.col("id").alias(side), F.col("words").alias(f"w{side}"))
@@ -326,8 +368,7 @@ def near_duplicates(docs: DataFrame, *, least: float = MIN_SIMILARITY, id_col: s
         lone = F.broadcast(lone) if fits(lone, BROADCAST_IDS) else lone
         buckets = keep(shared.select("key", "rep", "id", "n").join(lone, "id", "left_anti").distinct())
 
-        def linked(pairs: DataFrame) -> DataFrame:
-            likely = keep(_plausible(pairs, counts, least))
+        def aligned(likely: DataFrame) -> DataFrame:
             ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
             ids = F.broadcast(ids) if fits(ids, BROADCAST_IDS) else ids
             words = keep(_word_table(_texts(docs, id_col, text_col).join(ids, "id", "left_semi")))
@@ -336,14 +377,12 @@ def near_duplicates(docs: DataFrame, *, least: float = MIN_SIMILARITY, id_col: s
         close = lambda x, y: F.abs(x - y) <= F.lit(1 - least) * F.greatest(x, y) + F.lit(1e-9)
         counts = sketched.select("id", "n", "counts")
         star = buckets.where(close(F.col("n"), F.col("rep.n"))).where("rep.id < id").select(F.col("rep.id").alias("a"), F.col("id").alias("b")).distinct()
-        links = linked(star)
+        likely = keep(_plausible(star, counts, least))
+        links = aligned(likely)
         groups = components(links)
         rooted = buckets.join(groups, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-        members = rooted.groupBy("key", "root").agg(F.min(F.struct("n", "id")).alias("m")).select("key", "m.*")
-        line = by_key.orderBy("n", "id")
-        beside = members.withColumn("p", F.lag(F.struct("id", "n")).over(line)).where(F.col("p").isNotNull())
-        beside = beside.where(close(F.col("n"), F.col("p.n"))).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
-        more = linked(beside.where("a < b").distinct().join(star, ["a", "b"], "left_anti"))
+        apart = rooted.withColumns({"low": F.min("root").over(by_key), "high": F.max("root").over(by_key)}).where("low < high").select("key", "id", "n", "root")
+        more = aligned(keep(_apart(apart.join(counts, ["id", "n"]), least).join(likely, ["a", "b"], "left_anti")))
         every = links.unionByName(more).unionByName(copies.select(F.col("root").alias("a"), F.col("id").alias("b")))
         return components(every).select(F.col("id").alias("doc_id"), F.col("root").alias("duplicate_of")).checkpoint()
 

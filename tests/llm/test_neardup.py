@@ -129,6 +129,63 @@ def test_planted_groups_are_found_despite_a_shared_passage(spark):
     assert found.items() <= truth.items() and len(found) >= 0.95 * len(truth)
 
 
+def test_planted_groups_are_found_whole(spark):
+    rows, truth = planted()
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.doc_id: r.duplicate_of for r in got.collect()} == truth
+
+
+def crowded(families=6, seed=3):
+    """In each family two near copies that share little but a passage; most of it stands in many
+    texts of lesser ids that come between them by length and id."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    rows, truth = [], {}
+    for _ in range(families):
+        passage = [word() for _ in range(61)]
+        for _ in range(120):
+            at = rng.randrange(2)
+            rows.append((len(rows), " ".join(passage[at : at + 60] + [word() for _ in range(21)])))
+        for n in (19, 20):
+            rows.append((len(rows), " ".join(passage + [word() for _ in range(n)])))
+        truth[len(rows) - 1] = len(rows) - 2
+    return rows, truth
+
+
+def test_copies_are_found_in_crowded_buckets(spark):
+    rows, truth = crowded()
+    assert groups_by_brute_force(rows) == truth
+    for id_type in ("bigint", "string"):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("doc_id", F.format_string("%06d", "doc_id").cast(id_type))
+        assert {int(r.doc_id): int(r.duplicate_of) for r in N.near_duplicates(docs).collect()} == truth
+
+
+def test_pairs_across_batches_equal_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(120):
+        words = rng.integers(0, 1 << 32, 40 + i % 30, dtype=np.uint32)
+        if i % 3:
+            words[:36] = np.frombuffer(rows[i - i % 3][-1], dtype=np.uint32)[:36]
+        rows.append((i % 2, i, len(words), i % 5, words.tobytes()))
+    want = set()
+    for x in rows:
+        for y in rows:
+            if x[1] < y[1] and x[0] == y[0] and x[3] != y[3]:
+                longer = max(x[2], y[2])
+                counts = [np.frombuffer(N.word_counts(np.frombuffer(z[4], dtype=np.uint32)), dtype=np.uint8)[None, :] for z in (x, y)]
+                if abs(x[2] - y[2]) <= 0.25 * longer and N.least_edits(*counts)[0] <= 0.25 * longer:
+                    want.add((x[1], y[1]))
+    df = spark.createDataFrame([(k, i, n, r, bytearray(N.word_counts(np.frombuffer(w, dtype=np.uint32)))) for k, i, n, r, w in rows], "key bigint, id bigint, n int, root bigint, counts binary")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [(r.a, r.b) for r in N._apart(df, 0.75).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(want) > 5 and sorted(got) == sorted(want)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.id: r.root for r in N.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
