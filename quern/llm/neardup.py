@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import SPACE, fits, free_name, mix, normal, prepare, quoted, settle
 
-#: Short k-mers and many of them in a sketch: texts that merely share passages rarely share a
-#: sketch, near copies share one in thirty or more.
+#: So many that texts of MIN_SIMILARITY itself, their edits scattered so that each breaks two k-mers,
+#: share a sketch in more than nine cases of ten (about one sketch in twenty; one in 27 if the edits
+#: are evenly spaced).
 K = 2
-L = 5
-SKETCHES = 64
+L = 3
+SKETCHES = 96
 #: Least edit similarity of near copies: 1 - edits / words of the longer text.
 MIN_SIMILARITY = 0.75
 #: Words are counted in so many classes, up to 3 in each, for a lower bound of the edits.

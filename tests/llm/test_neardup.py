@@ -76,6 +76,24 @@ def test_sketches_see_order_and_occurrence():
     assert len(sketch("a")) == N.SKETCHES and len(sketch("a b c d")) == N.SKETCHES
 
 
+@pytest.mark.parametrize("words", (40, 100, 300))
+@pytest.mark.parametrize("similarity", (0.75, 0.77, 0.8, 0.85, 0.9))
+def test_scattered_edits_share_a_sketch(words, similarity):
+    rng = np.random.default_rng(11)
+    f = N.multipliers(N.SKETCHES)
+    edits = round((1 - similarity) * words)
+    for spaced in (False, True):
+        met = 0
+        for _ in range(100):
+            a = rng.integers(0, 1 << 32, words, dtype=np.uint32)
+            b = a.copy()
+            at = np.arange(edits) * words // edits if spaced else rng.choice(words, edits, replace=False)
+            b[at] = rng.integers(0, 1 << 32, edits, dtype=np.uint32)
+            assert N.similar(a, b)
+            met += (N.sketches(N.labelled_kmers(a), f) == N.sketches(N.labelled_kmers(b), f)).any()
+        assert met >= 90
+
+
 def test_least_rows_agree_with_sorting():
     rng = np.random.default_rng(3)
     for n in (4, 65, 300, 2000):
