@@ -4,8 +4,8 @@ Texts and benchmark items are reduced to lower-case letters and digits with sing
 passage within e edits of an item of m characters shares m + 1 - q (e + 1) of its q-grams with
 it at least, all in a band of e + 1 diagonals (place in the text less place in the item). Shared
 q-grams are counted in overlapping bands of diagonals; where a band meets the bound, its region
-is aligned with the item, and kept if the edits are within budget. Items longer than SPAN are
-cut in overlapping windows, so that a leaked part is found too.
+is aligned with the item, and kept if the edits are within budget. Items longer than PART are
+sought in overlapping windows too, so that a leaked part is found.
 """
 
 from __future__ import annotations
@@ -25,8 +25,11 @@ Q = 12
 EDIT_RATE = 0.06
 #: Items up to SPAN characters are sought whole, longer ones in windows of half of it.
 SPAN = 400
+#: Items longer than PART are sought in windows of PART characters too, half overlapping: any part of
+#: 3 / 2 PART - 1 characters holds a window.
+PART = 100
 #: Items are indexed so many characters at a time; a longer benchmark takes several passes.
-INDEX_CHARS = 4_000_000
+INDEX_CHARS = 2_000_000
 #: Shared q-grams of a text are counted about so many at a time.
 HITS = 1_000_000
 
@@ -117,17 +120,16 @@ class Index:
     q: int
 
 
-def build_index(items: list[tuple], *, q: int = Q, rate: float = EDIT_RATE, span: int = SPAN) -> Index:
+def build_index(items: list[tuple], *, q: int = Q, rate: float = EDIT_RATE, span: int = SPAN, part: int = PART) -> Index:
     owners: dict[tuple[bytes, str], list[int]] = {}
     windows: list[np.ndarray] = []
     for k, (_, text) in enumerate(items):
         p = normal(text or "")
-        starts = [0]
-        size = len(p)
-        if size > span:
-            size = span // 2
-            starts = sorted({*range(0, len(p) - size, size // 2), len(p) - size})
-        for s in starts if budget(size, q, rate) >= 0 else ():
+        sizes = {span // 2 if len(p) > span else len(p), min(part, len(p))}
+        cuts = [(s, size) for size in sorted(sizes) for s in sorted({*range(0, len(p) - size, max(1, size // 2)), len(p) - size})]
+        for s, size in cuts:
+            if budget(size, q, rate) < 0:
+                continue
             w = p[s : s + size]
             name = (w.tobytes(), w.dtype.str)
             if name not in owners:
@@ -207,7 +209,7 @@ def find_leaks(text: str, index: Index) -> list[tuple[int, int, int, int]]:
     out: list[tuple[int, int, int, int]] = []
     for item, start, end, edits in found:
         if out and out[-1][0] == item and start < out[-1][2]:
-            out[-1] = (item, out[-1][1], max(end, out[-1][2]), max(edits, out[-1][3]) if end > out[-1][2] else min(edits, out[-1][3]))
+            out[-1] = (item, out[-1][1], max(end, out[-1][2]), max(edits, out[-1][3]))
         else:
             out.append((item, start, end, edits))
     return out
@@ -229,7 +231,8 @@ def indexes(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "t
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", index_chars: int = INDEX_CHARS, **how) -> DataFrame:
     """Rows (doc_id, item_id, start, end, edits), one for each passage of docs that is an item, or
-    windows of a long one, within the edit budget; of overlapping places of a window the first.
+    windows of one, within the edit budget; of overlapping places of a window the first. edits are
+    those of the joined window that has most.
 
     start and end count characters of the text from 0, end not included. A null or empty text has
     none; items without a text, or with fewer normal characters than a q-gram, are not sought;

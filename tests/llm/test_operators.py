@@ -96,6 +96,24 @@ def test_part_of_a_long_item(spark):
     assert {r.item_id for r in decontam.leaks(docs, bench).collect()} == {7}
 
 
+@pytest.mark.parametrize("length", (160, 250, 390, 401, 900))
+def test_any_part_of_an_item_is_found(length):
+    rng = random.Random(length)
+    text = lambda n: "".join(rng.choice("abcdefghijkl") if i % 7 else " " for i in range(1, n + 1))
+    item = text(length).strip()
+    index = decontam.build_index([(0, item)])
+    least = decontam.PART + decontam.PART // 2 - 1
+    for at in range(0, len(item) - least + 1, 9):
+        part = item[at : at + least + 2].strip()
+        if len(part) >= least:
+            assert decontam.find_leaks(f"{text(300)} {part} {text(300)}", index), at
+    edited = "".join("z" if i % 60 == 30 else c for i, c in enumerate(item))
+    (found,) = decontam.find_leaks(f"before {edited} after", index)
+    if length <= decontam.SPAN:
+        assert found[3] == edited.count("z") and found[1:3] == (7, 7 + len(edited))
+    assert not decontam.find_leaks(text(2000), index)
+
+
 def test_leaks_odd(spark, odd, none):
     bench = spark.createDataFrame([(1, "Some ordinary words, in a row."), (None, "Other words here"), (2, ""), (3, LONG)], "item_id bigint, text string")
     got = sorted((r.doc_id or 0, r.item_id or 0) for r in decontam.leaks(odd, bench).collect())
