@@ -123,16 +123,17 @@ def normalise(text: str) -> Mapped:
 
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9\-])")
 _NUMBER = re.compile(r"[0-9](?:[0-9]|[ .()\-]{1,2}(?=[0-9(]))*")
-_IP = re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])")
-_SSN = re.compile(r"(?<![0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])")
-_CARD = re.compile(r"(?<![0-9])(?:[3-6][0-9]{12,18}|[3-6][0-9]{3}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])")
+#: Identifiers of digits touch no letter, digit or underscore.
+_IP = re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])")
+_SSN = re.compile(r"(?<![\w\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?!\w|-(?!\Z))")
+_CARD = re.compile(r"(?<!\w)(?:[3-6][0-9]{12,18}|[3-6][0-9]{3}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{4,5})(?!\w)")
 _PHONE = re.compile(
-    r"(?<![0-9])(?:"
+    r"(?<![0-9])(?:(?<!\w)|(?=[+(]))(?:"
     r"(?:\+?[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,2}"
     r"|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,4}"
     r"|(?:[0-9]{1,3}[ .\-])?[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}"
     r"|[0-9]{10,11}"
-    r")(?![0-9])"
+    r")(?!\w)"
 )
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 
@@ -151,7 +152,7 @@ def _iban(text: str) -> bool:
 
 
 def _numbers(t: str, lo: int, hi: int) -> Iterator[tuple[str, int, int, str]]:
-    """Identifiers of digits in a stretch of digits and separators, the stricter kinds first."""
+    """Identifiers of digits in a stretch of digits and separators and the character after it, the stricter kinds first."""
     taken: list[tuple[int, int]] = []
     for kind, pattern in (("ip", _IP), ("ssn", _SSN), ("card", _CARD), ("phone", _PHONE)):
         for m in pattern.finditer(t, lo, hi):
@@ -179,11 +180,11 @@ def find(text: str, disguised: bool = True) -> list[tuple[str, int, int, str]]:
     taken = [x[1:3] for x in found]
     for m in _NUMBER.finditer(t):
         lo, hi = m.span()
-        if t[hi : hi + 1].isalpha() or t[hi : hi + 1] == "_" or t[lo - 1 : lo].isalpha() or t[lo - 1 : lo] == "_" or hi - lo < 7:
+        if hi - lo < 7:
             continue
         lo -= t[lo - 1 : lo] in ("+", "(")
         lo -= t[lo] == "(" and t[lo - 1 : lo] == "+"
-        found += [x for x in _numbers(t, lo, hi) if not any(a < x[2] and x[1] < b for a, b in taken)]
+        found += [x for x in _numbers(t, lo, hi + 1) if not any(a < x[2] and x[1] < b for a, b in taken)]
     out = [(kind, *mapped.source(a, b), value) for kind, a, b, value in found]
     return sorted(out, key=lambda x: x[1:3])
 

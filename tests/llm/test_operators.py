@@ -213,6 +213,19 @@ def test_identifiers(text, want):
     assert [(k, text[a:b], v) for k, a, b, v in pii.find(text)] == want
 
 
+@pytest.mark.parametrize("beside", ("{} 9am", "{}. 2nd row", "{} 3rd", "v2 {}", "a1 {} 2b", "_1 {} 4_"))
+@pytest.mark.parametrize("kind, written", (("phone", "555-123-4567"), ("phone", "(555) 123-4567"), ("ssn", "123-45-6789"), ("ip", "10.0.0.254"), ("card", "4111 1111 1111 1111")))
+def test_identifiers_beside_numbers_with_letters(kind, written, beside):
+    text = "see " + beside.format(written)
+    assert (kind, written) in [(k, text[a:b]) for k, a, b, _ in pii.find(text)]
+
+
+def test_identifiers_touch_no_letter():
+    for text in ("x555-123-4567", "555-123-4567x", "a123-45-6789", "123-45-6789_", "10.0.0.254b", "v10.0.0.254", "_4111111111111111", "4111111111111111a", "123-45-6789-1"):
+        assert pii.find(text) == [], text
+    assert [k for k, *_ in pii.find("tel(555) 123-4567; 123-45-6789- x")] == ["phone", "ssn"]
+
+
 def test_pii_query_equals_plain_search(spark, testdata, odd, none):
     docs = docs_of(spark, testdata).unionByName(spark.createDataFrame([(9001, "mail bob at site dot org"), (9002, "nine nine nine five five five one two one two")], "doc_id bigint, text string"), True)
     got = sorted(tuple(r) for r in pii.find_pii(docs).collect())
