@@ -12,14 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.session import ensure_checkpoint_dir
+from quern.session import written
 
 
-def with_running(df: DataFrame, order: Sequence[str], totals: dict[str, Column]) -> DataFrame:
+def with_running(df: DataFrame, order: Sequence[str | Column], totals: dict[str, Column]) -> DataFrame:
     """df with, for each name, the sum of the column over the rows before, in the order, which must be strict."""
-    ensure_checkpoint_dir(df.sparkSession)
     values = {f"__v{i}": c for i, c in enumerate(totals.values())}
-    ranged = df.withColumns(values).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    ranged = written(df.withColumns(values).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     sums = ranged.groupBy("__part").agg(*(F.sum(v).alias(v) for v in values))
     # one row for each partition: a window without partitions is no bottleneck here
@@ -30,6 +29,6 @@ def with_running(df: DataFrame, order: Sequence[str], totals: dict[str, Column])
     return out.drop("__part", *values, *(f"__s{i}" for i in range(len(values))))
 
 
-def with_index(df: DataFrame, order: Sequence[str], name: str = "index") -> DataFrame:
+def with_index(df: DataFrame, order: Sequence[str | Column], name: str = "index") -> DataFrame:
     """df with the number of each row in the order, from 0."""
     return with_running(df, order, {name: F.lit(1).cast("bigint")})
