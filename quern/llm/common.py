@@ -2,57 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from pathlib import Path
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from quern.session import ensure_workers_import as prepare
+from quern.session import settle, written
+
+__all__ = ["fits", "free_name", "mix", "normal", "normal_places", "prepare", "quoted", "read", "settle", "text_of", "token_count", "written"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package and name a checkpoint folder where none is set."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="quern-checkpoint-")
-        sc.setCheckpointDir(shared)
-
-
-@contextmanager
-def settle(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """A function that writes a frame as a table in the shared folder and reads it again; the
-    tables go when the block ends."""
-    folder = f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4()}"
-
-    def keep(df: DataFrame) -> DataFrame:
-        at = f"{folder}/{uuid.uuid4()}"
-        df.write.parquet(at)
-        return spark.read.schema(df.schema).parquet(at)
-
-    try:
-        yield keep
-    finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def free_name(taken: list[str], name: str) -> str:
     """name, with underscores added until no column has it in any case."""
     used = {c.lower() for c in taken}
