@@ -4,8 +4,9 @@ Texts and benchmark items are reduced to lower-case letters and digits with sing
 passage within e edits of an item of m characters shares m + 1 - q (e + 1) of its q-grams with
 it at least, all in a band of e + 1 diagonals (place in the text less place in the item). Shared
 q-grams are counted in overlapping bands of diagonals; where a band meets the bound, its region
-is aligned with the item, and kept if the edits are within budget. Items longer than PART are
-sought in overlapping windows too, so that a leaked part is found.
+is aligned with the item, and kept if the edits are within budget. An item is sought whole and, whatever its
+length, in overlapping windows of PART characters, so that a leaked part is found. An item without
+a q-gram is sought among the texts that are as short.
 """
 
 from __future__ import annotations
@@ -23,9 +24,7 @@ from quern.llm.common import mix, normal, normal_places, prepare, quoted
 Q = 12
 #: Edits allowed for each character of a window, if the lemma allows so many.
 EDIT_RATE = 0.06
-#: Items up to SPAN characters are sought whole, longer ones in windows of half of it.
-SPAN = 400
-#: Items longer than PART are sought in windows of PART characters too, half overlapping: any part of
+#: Besides whole, items are sought in windows of PART characters, half overlapping: any part of
 #: 3 / 2 PART - 1 characters holds a window.
 PART = 100
 #: Items are indexed so many characters at a time; a longer benchmark takes several passes.
@@ -103,7 +102,8 @@ def _ends(pattern: list[int], text: list[int], m: int, most: int) -> tuple[int,
 
 @dataclass
 class Index:
-    """Windows of the items and their q-grams: the grams of keys[k] are entries[first[k]:first[k + 1]]."""
+    """Windows of the items and their q-grams: the grams of keys[k] are entries[first[k]:first[k + 1]].
+    short: the items that have no q-gram, by their normal form."""
 
     items: list
     windows: list[np.ndarray]
@@ -118,17 +118,21 @@ class Index:
     bits: int
     seen: np.ndarray
     q: int
+    short: dict[tuple[bytes, str], list[int]]
 
 
-def build_index(items: list[tuple], *, q: int = Q, rate: float = EDIT_RATE, span: int = SPAN, part: int = PART) -> Index:
+def build_index(items: list[tuple], *, q: int = Q, rate: float = EDIT_RATE, part: int = PART) -> Index:
     owners: dict[tuple[bytes, str], list[int]] = {}
+    short: dict[tuple[bytes, str], list[int]] = {}
     windows: list[np.ndarray] = []
     for k, (_, text) in enumerate(items):
         p = normal(text or "")
-        sizes = {span // 2 if len(p) > span else len(p), min(part, len(p))}
+        if 0 < len(p) < q:
+            short.setdefault((p.tobytes(), p.dtype.str), []).append(k)
+        sizes = {len(p), min(part, len(p))}
         cuts = [(s, size) for size in sorted(sizes) for s in sorted({*range(0, len(p) - size, max(1, size // 2)), len(p) - size})]
         for s, size in cuts:
-            if budget(size, q, rate) < 0:
+            if size < q or budget(size, q, rate) < 0:
                 continue
             w = p[s : s + size]
             name = (w.tobytes(), w.dtype.str)
@@ -141,14 +145,14 @@ def build_index(items: list[tuple], *, q: int = Q, rate: float = EDIT_RATE, span
     edits = np.array([budget(m, q, rate) for m in lengths], dtype=np.int64)
     hashes = [qgrams(w, q) for w in windows]
     flat = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint32)
-    window_of = np.repeat(np.arange(len(windows)), [len(h) for h in hashes]).astype(np.int64)
-    place_of = np.concatenate([np.arange(len(h)) for h in hashes]).astype(np.int64) if hashes else np.empty(0, dtype=np.int64)
+    window_of = np.repeat(np.arange(len(windows), dtype=np.int32), [len(h) for h in hashes])
+    place_of = np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes]) if hashes else np.empty(0, dtype=np.int32)
     order = np.argsort(flat, kind="stable")
     keys, first = np.unique(flat[order], return_index=True)
     bits = int(min(26, max(10, np.ceil(np.log2(max(1, len(keys)) * 32)))))
     seen = np.zeros(1 << bits, dtype=bool)
     seen[keys >> np.uint32(32 - bits)] = True
-    return Index([i for i, _ in items], windows, list(owners.values()), lengths, edits, lengths + 1 - q * (edits + 1), keys, np.append(first, len(flat)), window_of[order], place_of[order], bits, seen, q)
+    return Index([i for i, _ in items], windows, list(owners.values()), lengths, edits, lengths + 1 - q * (edits + 1), keys, np.append(first, len(flat)), window_of[order], place_of[order], bits, seen, q, short)
 
 
 def _bands(p: np.ndarray, index: Index) -> np.ndarray:
@@ -172,7 +176,7 @@ def _bands(p: np.ndarray, index: Index) -> np.ndarray:
         hi = len(pos) if cut >= len(pos) else int(np.searchsorted(pos, pos[cut] + reach))
         m = n[lo:hi]
         entry = np.repeat(index.first[k[lo:hi]] - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum())
-        window = index.window_of[entry]
+        window = index.window_of[entry].astype(np.int64)
         diagonal = np.repeat(pos[lo:hi], m) - index.place_of[entry]
         code = (window << 40) + diagonal // (index.edits[window] + 1) + (1 << 20)
         codes, counts = np.unique(np.concatenate((code, code - 1)), return_counts=True)
@@ -184,9 +188,15 @@ def _bands(p: np.ndarray, index: Index) -> np.ndarray:
 def find_leaks(text: str, index: Index) -> list[tuple[int, int, int, int]]:
     """(number of the item, start, end, edits) of each passage; spans are of the source text. Of
     overlapping places of a window the first counts; overlapping windows of an item are joined."""
-    if not len(index.keys):
+    if not len(index.keys) and not index.short:
         return []
     p = normal(text)
+    if len(p) < index.q:
+        same = index.short.get((p.tobytes(), p.dtype.str), []) if len(p) else []
+        _, at = normal_places(text) if same else (p, None)
+        return [(k, int(at[0]), int(at[-1]) + 1, 0) for k in same]
+    if not len(index.keys):
+        return []
     codes = _bands(p, index)
     if not len(codes):
         return []
@@ -235,9 +245,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     those of the joined window that has most.
 
     start and end count characters of the text from 0, end not included. A null or empty text has
-    none; items without a text, or with fewer normal characters than a q-gram, are not sought;
-    repeated items each give rows, repeated documents and null ids too; other columns are
-    ignored; an empty table on either side gives an empty one.
+    none; items without letters or digits are not sought, and one with fewer normal characters than
+    a q-gram only in texts that are, but for case and punctuation, the item; repeated items each
+    give rows, repeated documents and null ids too; other columns are ignored; an empty table on
+    either side gives an empty one.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -273,7 +284,8 @@ def _arrow(df: DataFrame, name: str) -> pa.DataType:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", index_chars: int = INDEX_CHARS, **how) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no passage of the benchmark; see leaks."""
+    """The rows of docs, with all their columns, that hold no passage of the benchmark; see leaks.
+    Null and empty texts stay, null ids and repeated rows are judged by their texts."""
     spark = docs.sparkSession
     prepare(spark)
     place = docs.columns.index(text_col)
