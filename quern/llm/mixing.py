@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fits, free_name, prepare, quoted, text_of, token_count
+from quern.llm.common import fits, free_name, prepare, quoted, text_of, token_count, written
 
 #: Without given weights a source weighs its tokens to this power, so that large sources give way.
 SMOOTHING = 0.7
@@ -39,16 +39,19 @@ def source_rates(
 
     A source's weight is weights[source], default_weight where it is missing there, or
     tokens ** smoothing where no weights are given; the budget is all tokens of the table
-    unless given. A source without tokens, or of weight 0, has rate 0.
+    unless given. A source without tokens, or of weight 0, has rate 0. Names are compared as
+    strings, and None names the null source. Weights are joined as a table, however many there are.
     """
     tokens = docs.groupBy(quoted(source_col).alias("source")).agg(F.sum(token_count(text_of(text_col))).alias("tokens"))
     if weights is None:
         weight = F.pow(F.col("tokens").cast("double"), F.lit(float(smoothing)))
     else:
-        weight = F.lit(float(default_weight))
-        for name, value in sorted(weights.items()):
-            weight = F.when(F.col("source") == name, F.lit(float(value))).otherwise(weight)
-    weighed = tokens.withColumn("weight", F.when(F.col("tokens") > 0, weight).otherwise(F.lit(0.0))).checkpoint()
+        rows = [(None if name is None else str(name), float(value)) for name, value in weights.items()]
+        given = docs.sparkSession.createDataFrame(rows, "__name string, __given double")
+        given = F.broadcast(given) if len(rows) <= BROADCAST_SOURCES else given
+        tokens = tokens.join(given, F.col("source").cast("string").eqNullSafe(F.col("__name")), "left")
+        weight = F.coalesce("__given", F.lit(float(default_weight)))
+    weighed = written(tokens.select("source", "tokens", F.when(F.col("tokens") > 0, weight).otherwise(F.lit(0.0)).alias("weight")))
     totals = weighed.agg(F.sum("tokens").alias("t"), F.sum("weight").alias("w")).first()
     budget, total = budget_tokens if budget_tokens is not None else totals["t"] or 0, totals["w"] or 0.0
     rate = F.when((F.col("tokens") > 0) & F.lit(total > 0), F.col("weight") / F.lit(total or 1.0) * F.lit(float(budget)) / F.col("tokens"))
