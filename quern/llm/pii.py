@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 from quern.llm.common import prepare, quoted
 
 _LOOKALIKES = {
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙӀ", "J": "Ј", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "S": "Ѕ", "T": "ТΤ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ",
-    "a": "аα", "c": "сϲ", "d": "ԁ", "e": "еε", "g": "ɡ", "h": "һ", "i": "іιı", "j": "ј", "k": "κ", "l": "ⅼ", "m": "ⅿ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛ", "r": "г", "s": "ѕ", "u": "υ", "v": "ѵν", "w": "ԝ", "x": "хχ", "y": "уγ",
+    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙӀİ", "J": "Ј", "K": "КΚK", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "S": "Ѕ", "T": "ТΤ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ",
+    "a": "аα", "c": "сϲ", "d": "ԁ", "e": "еε", "g": "ɡ", "h": "һ", "i": "іιı", "j": "ј", "k": "κ", "l": "ⅼ", "m": "ⅿ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛ", "r": "г", "s": "ѕſ", "u": "υ", "v": "ѵν", "w": "ԝ", "x": "хχ", "y": "уγ",
     ".": "。․", "@": "﹫", "-": "‐‑‒–—−﹣", " ": "      　",
 }
 _INVISIBLE = "​‌‍⁠﻿­"
@@ -34,6 +35,8 @@ def _letters() -> dict[int, str | None]:
             plain = unicodedata.normalize("NFKC", chr(i))
             if len(plain) == 1 and plain.isascii() and i not in table:
                 table[i] = plain
+    # digits of other scripts
+    table |= {i: str(unicodedata.decimal(chr(i))) for i in range(128, 0x110000) if i not in table and unicodedata.decimal(chr(i), None) is not None}
     return table | {ord(x): None for x in _INVISIBLE}
 
 
@@ -57,12 +60,26 @@ _WORD = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 #: Three spelled digits in a row at least, so that a lone "one" stays a word.
 _SPELLED = re.compile(rf"(?<!\w){_WORD}(?:[ \t,.\-]{{1,3}}{_WORD}){{2,}}(?!\w)", re.I)
 _ONE = re.compile(_WORD, re.I)
-_OPEN, _CLOSE = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
-_BRACKET = re.compile(rf"{_OPEN}(?:(at|@|arroba|arobase|ät)|(dot|\.|punkt|punto|point)){_CLOSE}", re.I)
+_DOT = "(?:dot|punkt|punto|point)"
+_BRACKET = re.compile(r"[\[({<][ \t]*(?:(at|@|arroba|arobase|ät)|(dot|\.|punkt|punto|point))[ \t]*[\])}>]", re.I)
+_BETWEEN = rf"(?:[ \t]+{_DOT}[ \t]+|[ \t]+\.[ \t]+|\.)"
 #: Bare spellings count only where a whole address follows: name at host dot name.
-_BARE = re.compile(r"(?<![\w.])[\w.+\-]+([ \t]+(?:at|@|arroba)[ \t]+)(?!(?:the|an?|this|that|our|your|my|his|her|its|their)\b)[\w\-]+(?:(?:[ \t]+(?:dot|punkt|punto|point)[ \t]+|[ \t]*\.[ \t]*)[\w\-]+)*[ \t]+(?:dot|punkt|punto|point)[ \t]+[a-z]{2,}(?!\w)", re.I)
-_BARE_DOT = re.compile(r"[ \t]+(?:dot|punkt|punto|point)[ \t]+|[ \t]*\.[ \t]*", re.I)
-_AT_DOT = re.compile(r"@[\w\-]+(?:(?:[ \t]+(?:dot|punkt|punto|point)[ \t]+|\.)[\w\-]+)*[ \t]+(?:dot|punkt|punto|point)[ \t]+[a-z]{2,}(?!\w)", re.I)
+_BARE = re.compile(rf"(?<![\w.+\-])([\w.+\-]++)([ \t]++(at|@|arroba)[ \t]++)([\w\-]++(?:{_BETWEEN}[\w\-]++)*?(?:[ \t]+{_DOT}[ \t]+|\.)([a-z]{{2,24}}+)(?![\w\-])(?!{_BETWEEN}[\w\-]))", re.I)
+_BARE_DOT = re.compile(rf"[ \t]+{_DOT}[ \t]+|[ \t]+\.[ \t]+", re.I)
+_AT_DOT = re.compile(rf"@[\w\-]++(?:(?:[ \t]+{_DOT}[ \t]+|\.)[\w\-]++)*[ \t]+{_DOT}[ \t]+[a-z]{{2,}}+(?!\w)", re.I)
+#: Words that name no mailbox before "at", and those that seldom do: a plain dot behind such a word,
+#: as in "book at example.com", makes no address.
+_NO_MAILBOX = frozenset(
+    "a an the this that these those it he she they we i you us me him her them all any some more most much many not only just even still now then here there back up down out off"
+    " on in at by of to for from with and or but as so if than is are was were be been being am do does did done go goes went gone come comes came look looks looked looking stay"
+    " stays stayed arrive arrives arrived meet meets met find finds found see sees saw seen live lived aim aimed laugh laughed point pointed good bad best better great".split()
+)
+_SELDOM_MAILBOX = _NO_MAILBOX | frozenset(
+    "visit visits visited available lives work works worked working hosted host hosts located posted published read reads online shop buy sold sign register download order book"
+    " learn apply start starts started end ended home website site page blog web link url click check subscribe join follow watch listen reach call write email mail contact based".split()
+)
+_ARTICLE = re.compile(r"(?:the|an?|this|that|our|your|my|his|her|its|their)[ \t]", re.I)
+_DOMAINS = frozenset("com org net edu gov mil int info biz name io dev app ai co me tv us uk ca de fr es it nl be ch at eu se no dk fi pl cz pt ie ru ua jp cn kr in au nz br mx ar cl za tr gr il".split())
 
 Edit = tuple[int, int, str]
 
@@ -94,6 +111,36 @@ class Mapped:
         return (start, end) if self.lo is None else (int(self.lo[start]), int(self.hi[end - 1]))
 
 
+def _brackets(t: str) -> list[Edit]:
+    """Bracketed spellings with the blanks around them."""
+    out: list[Edit] = []
+    for m in _BRACKET.finditer(t):
+        a, b = m.span()
+        least = out[-1][1] if out else 0
+        while a > least and t[a - 1] in " \t":
+            a -= 1
+        while b < len(t) and t[b] in " \t":
+            b += 1
+        out.append((a, b, "@" if m.group(1) else "."))
+    return out
+
+
+def _bare(mapped: Mapped) -> list[Edit]:
+    """Bare spellings of whole addresses."""
+    out: list[Edit] = []
+    t = mapped.text
+    for m in _BARE.finditer(t):
+        local, at, host, last = m.group(1).lower(), m.group(3), m.group(4), m.group(5)
+        dots = [(m.start(4) + d.start(), m.start(4) + d.end()) for d in _BARE_DOT.finditer(host)]
+        spelled = bool(dots) or any(mapped.source(i, i + 1)[1] - mapped.source(i, i + 1)[0] > 1 for i in range(*m.span(4)) if t[i] == ".")
+        if _ARTICLE.match(host) or at != "@" and local in (_NO_MAILBOX if spelled else _SELDOM_MAILBOX):
+            continue
+        if spelled or last in _DOMAINS:
+            out.append((*m.span(2), "@"))
+            out += [(a, b, ".") for a, b in dots]
+    return out
+
+
 def normalise(text: str) -> Mapped:
     out = Mapped(text)
     if not text.isascii() and _ODD.search(text):
@@ -108,16 +155,10 @@ def normalise(text: str) -> Mapped:
             at = m.end()
     out.rewrite(edits)
     if any(c in out.text for c in "[({<"):
-        out.rewrite([(m.start(), m.end(), "@" if m.group(1) else ".") for m in _BRACKET.finditer(out.text)])
-    low = out.text.lower()
-    if " dot " in low or " punkt " in low or " punto " in low or " point " in low:
-        edits = []
-        for m in _BARE.finditer(out.text):
-            edits.append((*m.span(1), "@"))
-            edits += [(*d.span(), ".") for d in _BARE_DOT.finditer(out.text, m.end(1), m.end())]
-        out.rewrite(edits)
-        if "@" in out.text:
-            out.rewrite([(*d.span(), ".") for m in _AT_DOT.finditer(out.text) for d in _BARE_DOT.finditer(out.text, m.start(), m.end())])
+        out.rewrite(_brackets(out.text))
+    out.rewrite(_bare(out))
+    if "@" in out.text:
+        out.rewrite([(m.start() + d.start(), m.start() + d.end(), ".") for m in _AT_DOT.finditer(out.text) for d in _BARE_DOT.finditer(m.group())])
     return out
 
 
@@ -151,47 +192,64 @@ def _iban(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+class Spans:
+    """Disjoint spans in order; says in logarithmic time whether another one overlaps."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in spans:
+            self.add(a, b)
+
+    def add(self, a: int, b: int) -> bool:
+        """Whether the span was free, and is now taken."""
+        k = bisect_left(self.starts, b)
+        if k and self.ends[k - 1] > a:
+            return False
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+        return True
+
+
 def _numbers(t: str, lo: int, hi: int) -> Iterator[tuple[str, int, int, str]]:
     """Identifiers of digits in a stretch of digits and separators and the character after it, the stricter kinds first."""
-    taken: list[tuple[int, int]] = []
+    taken = Spans()
     for kind, pattern in (("ip", _IP), ("ssn", _SSN), ("card", _CARD), ("phone", _PHONE)):
         for m in pattern.finditer(t, lo, hi):
-            a, b = m.span()
             digits = re.sub("[^0-9]", "", m.group())
             if kind == "ip" and any(int(x) > 255 for x in m.group().split(".")) or kind == "card" and not luhn(digits) or kind == "phone" and not 8 <= len(digits) <= 15:
                 continue
-            if not any(x < b and a < y for x, y in taken):
-                taken.append((a, b))
-                yield kind, a, b, re.sub("[^0-9.]" if kind == "ip" else "[^0-9+]", "", m.group())
+            if taken.add(*m.span()):
+                yield kind, *m.span(), re.sub("[^0-9.]" if kind == "ip" else "[^0-9+]", "", m.group())
 
 
 def find(text: str, disguised: bool = True) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, normalised value) of each identifier, in order; spans are of the source text.
 
-    disguised: False where the text is known to hold nothing that normalise would rewrite.
+    Identifiers do not overlap: e-mail addresses come before account numbers, these before numbers of
+    other kinds. disguised: False where the text is known to hold nothing that normalise would rewrite.
     """
     mapped = normalise(text) if disguised else Mapped(text)
-    t, found = mapped.text, []
+    t, found, taken = mapped.text, [], Spans()
     if "@" in t:
-        found += [("email", *m.span(), m.group().lower()) for m in _EMAIL.finditer(t)]
+        found += [("email", *m.span(), m.group().lower()) for m in _EMAIL.finditer(t) if taken.add(*m.span())]
     for m in _IBAN.finditer(t):
-        if _iban(m.group()) and not t[m.start() - 1 : m.start()].isalnum():
+        if _iban(m.group()) and not t[m.start() - 1 : m.start()].isalnum() and taken.add(*m.span()):
             found.append(("iban", *m.span(), m.group().replace(" ", "")))
-    taken = [x[1:3] for x in found]
     for m in _NUMBER.finditer(t):
         lo, hi = m.span()
         if hi - lo < 7:
             continue
         lo -= t[lo - 1 : lo] in ("+", "(")
         lo -= t[lo] == "(" and t[lo - 1 : lo] == "+"
-        found += [x for x in _numbers(t, lo, hi + 1) if not any(a < x[2] and x[1] < b for a, b in taken)]
+        found += [x for x in _numbers(t, lo, hi + 1) if taken.add(x[1], x[2])]
     out = [(kind, *mapped.source(a, b), value) for kind, a, b, value in found]
     return sorted(out, key=lambda x: x[1:3])
 
 
 #: What a text must hold for normalise to change it, and for find to find anything, for a scan of whole batches outside Python.
 _WORDS = "(?:" + "|".join(sorted(DIGITS)) + ")"
-DISGUISED = rf"{_WORDS}[ \t,.\-]+{_WORDS}[ \t,.\-]+{_WORDS}|[\[({{<][ \t]*(?:at|@|arroba|arobase|ät|dot|\.|punkt|punto|point)[ \t]*[\])}}>]|[ \t](?:dot|punkt|punto|point)[ \t]|" + _ODD.pattern
+DISGUISED = rf"{_WORDS}[ \t,.\-]+{_WORDS}[ \t,.\-]+{_WORDS}|[\[({{<][ \t]*(?:at|@|arroba|arobase|ät|dot|\.|punkt|punto|point)[ \t]*[\])}}>]|[ \t](?:dot|punkt|punto|point)[ \t]|[ \t](?:at|@|arroba)[ \t]+[^ \t\n\r]+\.[a-z]|" + _ODD.pattern
 PLAIN = "[0-9@]"
 
 
