@@ -7,24 +7,26 @@ texts share a sketch with a probability that falls with their edit distance, not
 the k-mers they share. Texts that share a sketch are aligned word by word in a band as wide as
 the edits allowed; those that pass are linked, and linked texts form groups.
 
-No pair is dropped for a bucket's size. Exact copies are joined by hash. In each bucket every
-text is paired with the one of least id, which settles large groups in linear work; then all
-texts that still share a bucket but no group are compared, pair by pair, in a stream ordered by
-length. Pairs whose lengths or word counts rule them out never leave the stream, nor fetch texts.
+No pair is dropped for a bucket's size. Exact copies are joined by hash and leave before buckets
+are made. In each bucket every text is paired with the one of least id, which settles large groups
+in linear work; then all texts that still share a bucket but no group are compared, pair by pair, in
+a stream ordered by length; a bucket of more than BLOCK such texts is cut into blocks, each pair of
+which is a task of its own. Pairs whose lengths or word counts rule them out never leave the
+stream, nor fetch texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACE, fits, free_name, mix, normal, prepare, quoted, settle
+from quern.llm.common import SPACE, fits, free_name, mix, normal, prepare, quoted, settle, written
 
 #: So many that texts of MIN_SIMILARITY itself, their edits scattered so that each breaks two k-mers,
 #: share a sketch in more than nine cases of ten (about one sketch in twenty; one in 27 if the edits
@@ -39,6 +41,8 @@ CLASSES = 512
 SEED = 5
 #: Pairs of a bucket are compared by word counts so many at a time.
 PAIRS = 1 << 14
+#: Texts of a bucket without a common group are compared so many at a time with so many.
+BLOCK = 4096
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
@@ -259,7 +263,7 @@ def _word_table(texts: DataFrame) -> DataFrame:
 
 
 def _plausible(pairs: DataFrame, counts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) that word counts do not rule out."""
+    """The pairs (a, b) that neither lengths nor word counts rule out."""
     of = lambda side: counts.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("counts").alias(f"c{side}"))
     id_type = pairs.schema["a"].dataType.simpleString()
 
@@ -271,13 +275,19 @@ def _plausible(pairs: DataFrame, counts: DataFrame, least: float) -> DataFrame:
             bound = np.concatenate([least_edits(a[i : i + step], b[i : i + step]) for i in range(0, max(1, len(a)), step)])
             yield batch.select(["a", "b"]).filter(pa.array(bound <= (1 - least) * n + 1e-9))
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where(F.abs(F.col("na") - F.col("nb")) <= F.lit(1 - least) * F.greatest("na", "nb") + F.lit(1e-9))
+    return both.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
 
 
 def _apart(rows: DataFrame, least: float) -> DataFrame:
     """All pairs (a, b) of the rows (key, id, n, root, counts) that share a key but no root, and that
     neither lengths nor word counts rule out. Each bucket is streamed in order of length; only the
-    rows that a longer text may still be close to are held."""
+    rows that a longer text may still be close to are held. The rows of a bucket of more than BLOCK
+    are dealt to blocks, and each of them goes to the cells that its block makes with any other."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "n", "id", "root", "block", "counts")
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,10 +298,11 @@ def _apart(rows: DataFrame, least: float) -> DataFrame:
             table, new = pa.Table.from_batches([batch]), 0
             if held is not None:
                 table, new = pa.concat_tables([held, table]).combine_chunks(), held.num_rows
-            key, n, root, ids = (table.column(c).to_numpy() for c in ("key", "n", "root", "id"))
+            key, one, two, n, root, ids, block = (table.column(c).to_numpy() for c in ("key", "one", "two", "n", "root", "id", "block"))
             n = n.astype(np.int64)
+            change = (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
             counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.uint8).reshape(-1, CLASSES // 4)
-            bucket = np.cumsum(np.concatenate(([0], key[1:] != key[:-1]))) << 32
+            bucket = np.cumsum(np.concatenate(([0], change))) << 32
             # of each row, the first in its bucket that is long enough
             first = np.searchsorted(bucket + n, bucket + np.ceil(n - ((1 - least) * n + 1e-9)).astype(np.int64))
             held = table.slice(first[-1])
@@ -301,7 +312,7 @@ def _apart(rows: DataFrame, least: float) -> DataFrame:
                 at = np.searchsorted(until, pair, side="right")
                 j = at + new
                 i = j - (until[at] - pair)
-                other = np.flatnonzero(root[i] != root[j])
+                other = np.flatnonzero((root[i] != root[j]) & ((one[j] == two[j]) | (block[i] != block[j])))
                 i, j = i[other], j[other]
                 near = least_edits(counts[i], counts[j]) <= (1 - least) * n[j] + 1e-9
                 i, j = pa.array(i[near]), pa.array(j[near])
@@ -310,7 +321,7 @@ def _apart(rows: DataFrame, least: float) -> DataFrame:
                     x, y = (table.column("id").take(k).combine_chunks() for k in (i, j))
                     yield pa.RecordBatch.from_arrays([pc.if_else(swap, y, x), pc.if_else(swap, x, y)], names=["a", "b"])
 
-    ordered = rows.select("key", "n", "id", "root", "counts").repartition("key").sortWithinPartitions("key", "n", "id")
+    ordered = cells.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "n", "id")
     return ordered.mapInArrow(run, f"a {id_type}, b {id_type}").where("a < b").distinct()
 
 
@@ -327,70 +338,97 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "wa", "wb").mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """Rows (id, root) of all ids of the links (a, b) but the roots, a root being the least id of
     its component. Alternates large-star and small-star steps until nothing changes."""
-    links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
+    links = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.withColumn("m", F.least("u", F.min("v").over(W.partitionBy("u")))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.withColumn("m", F.min("v").over(W.partitionBy("u")))
         small = least.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        links = small.where("u <> v").distinct().checkpoint()
+        links = keep(small.where("u <> v").distinct())
         now = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == mark:
             return links.select(F.col("u").alias("id"), F.col("v").alias("root"))
         mark = now
 
 
-#: A table of more ids than this is joined by shuffle, not broadcast.
+#: A table of more rows than this is joined by shuffle, not broadcast.
 BROADCAST_IDS = 2_000_000
+BROADCAST_KEYS = 1_000_000
+
+
+def _hinted(table: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    return F.broadcast(table) if fits(table, most) else table
 
 
 def near_duplicates(docs: DataFrame, *, least: float = MIN_SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, duplicate_of), one for each document that a document of lesser id stands for.
 
     duplicate_of is the least id of the group: of the documents linked, directly or through
-    others, by an edit similarity of `least` or more, counted in words. Texts without words, null
-    texts and null ids are in no group. Rows of one id count as one document, similar to another
-    if one of its texts is. Ties go to the lesser id; other columns are ignored; an empty table,
-    and one without copies, gives an empty one.
+    others, by an edit similarity of `least` (over 0, up to 1) or more, counted in words. Texts
+    without words, null texts and null ids are in no group. Rows of one id count as one document,
+    similar to another if one of its texts is. Ties go to the lesser id; other columns are ignored;
+    an empty table, and one without copies, gives an empty one.
     """
+    if not 0 < least <= 1:
+        raise ValueError("least must be over 0 and at most 1")
     spark = docs.sparkSession
     prepare(spark)
     with settle(spark) as keep:
         sketched = keep(sketch_table(docs, id_col=id_col, text_col=text_col))
-        copies = keep(sketched.select("id", F.min("id").over(W.partitionBy("h1", "h2")).alias("root")).where("id <> root").distinct())
-        by_key = W.partitionBy("key")
-        exploded = sketched.select("id", "n", F.posexplode("sketch").alias("band", "part")).select("id", "n", F.xxhash64("band", "part").alias("key"))
-        shared = exploded.withColumn("rep", F.min(F.struct("id", "n")).over(by_key)).withColumn("top", F.max("id").over(by_key)).where("rep.id < top")
-        lone = copies.select("id").distinct()
-        lone = F.broadcast(lone) if fits(lone, BROADCAST_IDS) else lone
-        buckets = keep(shared.select("key", "rep", "id", "n").join(lone, "id", "left_anti").distinct())
+        same = ["h1", "h2"]
+        firsts = keep(sketched.groupBy(*same).agg(F.min("id").alias("root"), F.max("id").alias("last")).where("root < last").select(*same, "root"))
+        copies = keep(sketched.select("id", *same).join(_hinted(firsts), same).where("id <> root").distinct())
+        own = sketched.join(_hinted(copies.select("id", *same)), ["id", *same], "left_anti")
+        exploded = own.select("id", "n", F.posexplode("sketch").alias("band", "part")).select("id", "n", F.xxhash64("band", "part").alias("key"))
+        shared = keep(exploded.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("top")).where("rep < top").select("key", "rep"))
+        buckets = keep(exploded.join(_hinted(shared, BROADCAST_KEYS), "key").select("key", "rep", "id", "n").distinct())
 
         def aligned(likely: DataFrame) -> DataFrame:
             ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            ids = F.broadcast(ids) if fits(ids, BROADCAST_IDS) else ids
-            words = keep(_word_table(_texts(docs, id_col, text_col).join(ids, "id", "left_semi")))
+            words = keep(_word_table(_texts(docs, id_col, text_col).join(_hinted(ids), "id", "left_semi")))
             return keep(_verified(likely, words, least))
 
-        close = lambda x, y: F.abs(x - y) <= F.lit(1 - least) * F.greatest(x, y) + F.lit(1e-9)
-        counts = sketched.select("id", "n", "counts")
-        star = buckets.where(close(F.col("n"), F.col("rep.n"))).where("rep.id < id").select(F.col("rep.id").alias("a"), F.col("id").alias("b")).distinct()
-        likely = keep(_plausible(star, counts, least))
+        counts = keep(sketched.select("id", "n", "counts").distinct())
+        likely = keep(_plausible(buckets.where("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), counts, least))
         links = aligned(likely)
-        groups = components(links)
-        rooted = buckets.join(groups, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-        apart = rooted.withColumns({"low": F.min("root").over(by_key), "high": F.max("root").over(by_key)}).where("low < high").select("key", "id", "n", "root")
-        more = aligned(keep(_apart(apart.join(counts, ["id", "n"]), least).join(likely, ["a", "b"], "left_anti")))
-        every = links.unionByName(more).unionByName(copies.select(F.col("root").alias("a"), F.col("id").alias("b")))
-        return components(every).select(F.col("id").alias("doc_id"), F.col("root").alias("duplicate_of")).checkpoint()
+        rooted = buckets.join(_hinted(components(links, keep)), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+        apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        rows = keep(rooted.join(apart, "key", "left_semi"))
+        more = aligned(keep(_apart(rows.join(counts, ["id", "n"]), least).join(likely, ["a", "b"], "left_anti")))
+
+        # a copy with one text follows its first; one with several texts may tie groups together
+        several = sketched.groupBy("id").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in same)).where("min_h1 < max_h1 OR min_h2 < max_h2").select("id")
+        several = _hinted(keep(several))
+        ties = copies.join(several, "id", "left_semi").select(F.col("root").alias("a"), F.col("id").alias("b"))
+        groups = components(links.unionByName(more).unionByName(ties), keep)
+        roots = _hinted(groups.select(F.col("id").alias("root"), F.col("root").alias("__root")))
+        follow = copies.join(several, "id", "left_anti").select("id", "root").join(roots, "root", "left").select("id", F.coalesce("__root", "root").alias("root"))
+        return written(groups.unionByName(follow).select(F.col("id").alias("doc_id"), F.col("root").alias("duplicate_of")))
+
+
+def one_of_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row, the least as JSON, of those with one id, null too, and one text; rows
+    without a text all stay. Only ids and digests are shuffled, and rows that are repeated."""
+    digest, same, h, row = F.md5(quoted(text_col)), *(free_name(docs.columns, n) for n in ("__same", "__digest", "__row"))
+    narrow = docs.where(quoted(text_col).isNotNull()).select(quoted(id_col).alias(same), digest.alias(h))
+    repeated = written(narrow.groupBy(quoted(same), quoted(h)).count().where("count > 1").drop("count"))
+    if repeated.isEmpty():
+        return docs
+    repeated = _hinted(repeated)
+    matched: Column = quoted(id_col).eqNullSafe(quoted(same)) & (digest == quoted(h))
+    whole = F.struct(*(quoted(c).alias(c) for c in docs.columns))
+    chosen = docs.join(repeated, matched, "left_semi").groupBy(quoted(id_col), digest).agg(F.min_by(whole, F.to_json(whole)).alias(row))
+    return docs.join(repeated, matched, "left_anti").unionByName(chosen.select(F.col(row + ".*")))
 
 
 def drop_near_duplicates(docs: DataFrame, *, least: float = MIN_SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that near_duplicates reports; all columns stay, and so do null ids."""
+    """docs, with all columns, without the documents that near_duplicates reports, and with one row of
+    those that repeat an id and its text. Rows with a null id are in no group: of those with one text
+    one stays. Rows without a text all stay."""
     name = free_name(docs.columns, "__gone")
     gone = near_duplicates(docs, least=least, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias(name))
-    gone = F.broadcast(gone) if fits(gone, BROADCAST_IDS) else gone
-    return docs.join(gone, quoted(id_col) == quoted(name), "left_anti")
+    return one_of_repeated(docs, id_col=id_col, text_col=text_col).join(_hinted(gone), quoted(id_col) == quoted(name), "left_anti")
