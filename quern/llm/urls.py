@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import fits, free_name, prepare, quoted
+from quern.llm.common import free_name, prepare, quoted, written
 
 WORDS = 8
 SALTS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
@@ -19,6 +19,8 @@ SALTS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B,
 BITS_PER_URL = 16
 #: A filter of more blocks than this (about 40 bytes each) is probed by shuffle, not broadcast.
 BROADCAST_BLOCKS = 1_000_000
+#: A list of more URLs than this is joined by shuffle, and only with the pages that the filter lets pass.
+BROADCAST_URLS = 500_000
 
 PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*)://)?(?:[^/@?#]*@)?([^/:?#]*)(?::([0-9]*))?([^?#]*)(?:[?]([^#]*))?"
 #: Parameters that only track where a visitor comes from.
@@ -56,21 +58,25 @@ def bloom_blocks(urls: DataFrame, n_blocks: int) -> DataFrame:
     return hashed.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)))
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, *, url_col: str = "url", listed_col: str = "url", bits_per_url: int = BITS_PER_URL) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, *, url_col: str = "url", listed_col: str = "url", bits_per_url: int = BITS_PER_URL, most_broadcast: int = BROADCAST_URLS) -> DataFrame:
     """pages with canonical_url and listed, true where the canonical URL is on the list.
 
-    All rows and columns stay; the two new ones get underscores if pages has such columns. A
-    null URL, or one without a host, has a null canonical URL and is not listed; repeated pages
-    and listed URLs do not matter; an empty list lists nothing.
+    All rows and columns stay, repeated rows each; the two new ones get underscores if pages has
+    such columns. A null URL, or one without a host, has a null canonical URL and is not listed;
+    URLs of any length are compared whole; repeated listed URLs do not matter; an empty list lists
+    nothing, and an empty table gives an empty one.
     """
     spark = pages.sparkSession
     prepare(spark)
     canonical, flag = free_name(pages.columns, "canonical_url"), free_name(pages.columns, "listed")
     hashed, maybe, key = (free_name(pages.columns, x) for x in ("__h", "__maybe", "__key"))
-    on_list = listed.select(canonical_url(quoted(listed_col)).alias("canonical")).where(F.col("canonical").isNotNull()).distinct().checkpoint()
-    n_blocks = max(1, -(-on_list.count() * bits_per_url // (32 * WORDS)))
+    on_list = listed.select(canonical_url(quoted(listed_col)).alias("canonical")).where(F.col("canonical").isNotNull()).distinct()
+    on_list = written(on_list)
+    n_listed = on_list.count()
+    few = n_listed <= most_broadcast
+    n_blocks = max(1, -(-n_listed * bits_per_url // (32 * WORDS)))
     blocks = bloom_blocks(on_list, n_blocks).withColumnRenamed("block", key)
-    if fits(blocks, BROADCAST_BLOCKS):
+    if n_blocks <= BROADCAST_BLOCKS:
         blocks = F.broadcast(blocks)
     page = pages.withColumn(canonical, canonical_url(quoted(url_col))).withColumn(hashed, F.xxhash64(quoted(canonical)))
     words = [free_name(pages.columns, f"__w{i}") for i in range(WORDS)]
@@ -83,6 +89,11 @@ def filter_urls(pages: DataFrame, listed: DataFrame, *, url_col: str = "url", li
         hit = hit & (F.coalesce(quoted(w), F.lit(0)).bitwiseAND(bit) != 0)
     columns = [*map(quoted, pages.columns), quoted(canonical)]
     probed = probed.select(*columns, hit.alias(maybe))
+    key_of = F.when(quoted(maybe), quoted(canonical))
+    if few:
+        exact = F.broadcast(on_list.select(F.col("canonical").alias(key)))
+        return probed.join(exact, key_of == quoted(key), "left").select(*columns, quoted(key).isNotNull().alias(flag))
+    # the rows that the filter rules out are not shuffled
     passed = probed.where(~quoted(maybe)).select(*columns, F.lit(False).alias(flag))
     exact = on_list.select(F.col("canonical").alias(key)).hint("shuffle_hash")
     decided = probed.where(quoted(maybe)).join(exact, quoted(canonical) == quoted(key), "left").select(*columns, quoted(key).isNotNull().alias(flag))
