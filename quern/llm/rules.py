@@ -132,6 +132,11 @@ def rule_number(rules: list[Rule]) -> Column:
     return out
 
 
+def used(rules: list[Rule]) -> tuple[str, ...]:
+    """The features that the rules read."""
+    return tuple(f for f in FEATURES if any(c.feature == f for r in rules for c in r))
+
+
 def rule_text(rules: list[Rule], number: Column) -> Column:
     out = F.lit(None).cast("string")
     for i, rule in enumerate(rules, 1):
@@ -146,14 +151,15 @@ def apply_rules(docs: DataFrame, rules: list[Rule], *, text_col: str = "text", i
     empty text has all statistics 0 and is judged by them; null ids and repeated rows each give
     their row; other columns are ignored; an empty table gives an empty one.
     """
-    found = text_features(docs, [quoted(id_col).alias("doc_id")], text_col).select("doc_id", rule_number(rules).alias("rule"))
+    found = text_features(docs, [quoted(id_col).alias("doc_id")], text_col, used(rules)).select("doc_id", rule_number(rules).alias("rule"))
     return found.select("doc_id", "rule", rule_text(rules, F.col("rule")).alias("reason"), (F.col("rule") == 0).alias("keep"))
 
 
 def keep_good(docs: DataFrame, rules: list[Rule], *, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns whatever their names, that no rule rejects."""
+    """The rows of docs, with all their columns whatever their names, that no rule rejects; see
+    apply_rules for odd rows."""
     row = F.struct(*(quoted(c).alias(c) for c in docs.columns)).alias("row")
-    return text_features(docs, [row], text_col).where(rule_number(rules) == 0).select("row.*")
+    return text_features(docs, [row], text_col, used(rules)).where(rule_number(rules) == 0).select("row.*")
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, most: int = TRAIN_ROWS) -> DataFrame:
