@@ -60,12 +60,17 @@ def profile(text: str, vectors: np.ndarray) -> np.ndarray | None:
 
 
 def fit_prototypes(docs: DataFrame, *, most: int = TRAIN_ROWS, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
-    """Unit prototypes of the languages of at most `most` labelled texts, those of the least id hashes."""
+    """Unit prototypes of the languages of at most `most` labelled rows, those of the least hashes of
+    (id, language, text).
+
+    Repeated rows count once; rows of one id and different texts, and of null ids, count each.
+    Hashes alone are sorted; the rows up to the last of them are then read again.
+    """
     prepare(docs.sparkSession)
-    labelled = docs.where(quoted(lang_col).isNotNull() & quoted(text_col).isNotNull())
-    ids = labelled.select(quoted(id_col).alias("id")).orderBy(F.xxhash64("id"), "id").limit(most).distinct()
-    train = labelled.select(quoted(id_col).alias("id"), quoted(lang_col).cast("string").alias("lang"), quoted(text_col).alias("text"))
-    train = train.join(F.broadcast(ids), "id", "left_semi").select("lang", "text")
+    labelled = docs.select(quoted(id_col).alias("id"), quoted(lang_col).cast("string").alias("lang"), quoted(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    hashed = labelled.select("lang", "text", F.xxhash64("id", "lang", "text").alias("h"))
+    last = hashed.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    train = hashed.where(F.col("h") <= last).dropDuplicates(["h"]).select("lang", "text") if last is not None else hashed.limit(0).select("lang", "text")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -89,12 +94,12 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: st
     """Rows (doc_id, language, cosine, margin), one for each row of docs.
 
     margin: how far the next language is behind. A null text, one without letters, and any text
-    where no language was learned get language "und" and 0 for both figures; of equal cosines
-    the language first by name wins. Null ids and repeated rows each give their row; other
+    where no language was learned get language "und" and 0 for both figures; of cosines
+    equal to six places the language first by name wins. Null ids and repeated rows each give their row; other
     columns are ignored; an empty table gives an empty one.
     """
     prepare(docs.sparkSession)
-    names = list(prototypes)
+    names = sorted(prototypes)
     matrix = np.stack([prototypes[k] for k in names]).astype(np.float32) if names else np.zeros((0, dimensions), dtype=np.float32)
     in_type = docs.select(quoted(id_col).alias("doc_id")).schema["doc_id"].dataType
 
@@ -106,11 +111,11 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: st
                 v = profile(t.as_py(), vectors) if names and t.is_valid else None
                 if v is None or not v.any():
                     continue
-                near = matrix @ (v / np.linalg.norm(v))
+                near = (matrix @ (v / np.linalg.norm(v))).astype(np.float64).round(6)
                 k = int(near.argmax())
                 language[i], cosine[i] = names[k], near[k]
                 margin[i] = near[k] - max(np.delete(near, k), default=near[k])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(language), pa.array(cosine.round(6)), pa.array(margin.round(6))], names=["doc_id", "language", "cosine", "margin"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(language), pa.array(cosine), pa.array(margin.round(6))], names=["doc_id", "language", "cosine", "margin"])
 
     return docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text")).mapInArrow(run, f"doc_id {in_type.simpleString()}, language string, cosine double, margin double")
 
