@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import prepare, quoted
 
-#: Identifiers are made of at most so many words of the corpus, and of words that programs use.
+#: Identifiers are made of so many words of the corpus, those that most documents hold, and of words
+#: that programs use; so many samples of either kind train the models.
 TRAIN_WORDS = 4_000
 TRAIN_SAMPLES = 6_000
 SEED = 11
@@ -124,12 +125,12 @@ def labelled_samples(words: list[str], n: int = TRAIN_SAMPLES, seed: int = SEED)
     return out
 
 
-def sample_words(docs: DataFrame, most: int = TRAIN_WORDS, text_col: str = "text", id_col: str = "doc_id") -> list[str]:
-    """At most `most` distinct lower-case words of the documents of the least id hashes."""
-    some = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).where(F.col("text").isNotNull()).select("id", F.substring("text", 1, 2000).alias("text"))
-    some = some.orderBy(F.xxhash64("id"), "id", "text").limit(max(1, most // 20))
-    words = some.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("\\b([a-z]{2,12})\\b"), 1)).alias("w")).distinct()
-    return [r.w for r in words.orderBy(F.xxhash64("w"), "w").limit(most).collect()]
+def sample_words(docs: DataFrame, most: int = TRAIN_WORDS, text_col: str = "text") -> list[str]:
+    """The `most` words of two to twelve letters, in lower case, that most documents hold, of equals
+    the first by name. Whole texts of all documents are counted; a word counts once for a document."""
+    tokens = F.array_distinct(F.split(F.lower(quoted(text_col)), "[^a-z0-9_]+"))
+    words = docs.select(F.explode(tokens).alias("w")).where(F.col("w").rlike("^[a-z]{2,12}$"))
+    return [r.w for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most).collect()]
 
 
 def scan_secrets(docs: DataFrame, detector: Detector, *, min_chars: int = MIN_CHARS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -166,7 +167,7 @@ def scan_secrets(docs: DataFrame, detector: Detector, *, min_chars: int = MIN_CH
     return likely.mapInArrow(run, schema)
 
 
-def find_secrets(docs: DataFrame, *, most_words: int = TRAIN_WORDS) -> DataFrame:
+def find_secrets(docs: DataFrame, *, most_words: int = TRAIN_WORDS, samples: int = TRAIN_SAMPLES) -> DataFrame:
     """Train on generated keys and on identifiers of the corpus's own words, then scan; see scan_secrets."""
     prepare(docs.sparkSession)
-    return scan_secrets(docs, fit_detector(labelled_samples(sample_words(docs, most_words))))
+    return scan_secrets(docs, fit_detector(labelled_samples(sample_words(docs, most_words), samples)))
