@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import decontam, mixing, neardup, rules, sharding
-from quern.llm.common import prepare, read, settle
+from quern.llm.common import prepare, read, settle, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -57,4 +57,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     with settle(spark) as keep:
         for _, stage in STAGES[:-1]:
             docs = keep(stage(spark, docs, sf_dir))
-        return STAGES[-1][1](spark, docs, sf_dir).checkpoint()
+        return written(STAGES[-1][1](spark, docs, sf_dir))
