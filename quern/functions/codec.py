@@ -78,6 +78,41 @@ def unseal(sealed: Column, key: Column, nonce: Column, context: Column) -> Colum
     return F.aes_decrypt(F.concat(nonce, sealed), key, F.lit("GCM"), F.lit("DEFAULT"), context)
 
 
+def unseal_or_null(sealed: Column, key: Column, nonce: Column, context: Column) -> Column:
+    """The content, or null where it was altered or the key is another."""
+    return F.try_aes_decrypt(F.concat(nonce, sealed), key, F.lit("GCM"), F.lit("DEFAULT"), context)
+
+
+def checked(content: Column) -> Column:
+    """Content that is not sealed: followed by as many bytes of its digest as a seal has."""
+    return F.concat(content, F.unhex(F.substring(F.sha2(content, 256), 1, 2 * TAG_BYTES)))
+
+
+def unchecked_or_null(stored: Column) -> Column:
+    """What checked was given, or null where it was altered."""
+    n = F.octet_length(stored) - TAG_BYTES
+    body = F.substring(stored, F.lit(1), F.greatest(n, F.lit(0)))
+    return F.when((n >= 0) & (checked(body) == stored), body)
+
+
+def block_context(segment_id: Column, ordinal: Column, codec: Column, plain_len: Column) -> Column:
+    """What a block's seal also covers: where the block belongs and how it is to be read."""
+    return F.concat_ws("|", F.lit("block"), segment_id, ordinal.cast("string"), codec, plain_len.cast("string"))
+
+
+def page_context(release: Column, kind: Column, page_id: Column) -> Column:
+    return F.concat_ws("|", F.lit("page"), release.cast("string"), kind, page_id.cast("string"))
+
+
+def catalog_context(project: Column, release: Column) -> Column:
+    return F.concat_ws("|", F.lit("catalog"), project, release.cast("string"))
+
+
+def nonce_prefix(segment_id: Column) -> Column:
+    """Eight bytes for all blocks of a segment, whose key is its own."""
+    return F.unhex(F.substring(F.sha2(segment_id, 256), 1, 2 * (NONCE_BYTES - 4)))
+
+
 def nonce(prefix: Column, ordinal: Column) -> Column:
     """Eight bytes of prefix, then the ordinal, four bytes, least first."""
     h = F.lpad(F.hex(ordinal), 8, "0")

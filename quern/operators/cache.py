@@ -6,7 +6,7 @@ bounded by the budgets, and traces stream through in batches.
 
 from __future__ import annotations
 
-from collections import deque
+from collections import OrderedDict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,19 +20,40 @@ from quern.session import ensure_workers_import
 
 @dataclass(frozen=True)
 class Budget:
-    """Bytes for cached and for prefetched blocks; how many blocks wait for their second access."""
+    """Bytes for cached and for prefetched blocks; how many blocks wait for their second access; how many
+    segments stay open."""
 
     block_bytes: int = 64 * MIB
     prefetch_bytes: int = 16 * MIB
     probation: int = 1024
+    open_segments: int = 16
 
     @staticmethod
     def constrained() -> "Budget":
-        return Budget(8 * MIB, 2 * MIB, 128)
+        return Budget(8 * MIB, 2 * MIB, 128, 4)
 
     @staticmethod
     def disabled() -> "Budget":
-        return Budget(0, 0, 0)
+        return Budget(0, 0, 0, 1)
+
+
+class OpenSegments:
+    """Segments that are open, the least recently used going first."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.held: OrderedDict = OrderedDict()
+
+    def use(self, segment) -> bool:
+        """Whether the segment was open; it is now, as the last used."""
+        if segment in self.held:
+            self.held.move_to_end(segment)
+            return True
+        if self.most > 0:
+            while len(self.held) >= self.most:
+                self.held.popitem(last=False)
+            self.held[segment] = True
+        return False
 
 
 class ClockCache:
@@ -120,6 +141,10 @@ class Replay:
         self.ahead.insert(key, size)
         return True
 
+    def prefetch_all(self, blocks) -> int:
+        """Reads the blocks (key, size) of a byte range ahead; returns how many were."""
+        return sum(self.prefetch(key, size) for key, size in blocks)
+
     def _second(self, key) -> bool:
         if self.budget.probation == 0:
             return False
@@ -153,6 +178,26 @@ def replay(trace: DataFrame, budget: Budget) -> DataFrame:
     return ordered.mapInPandas(run, ", ".join([*(f"{c} {types[c]}" for c in cols), "source string"]))
 
 
+def segment_opens(trace: DataFrame, budget: Budget) -> DataFrame:
+    """trace (session, seq, segment_id) with opened: whether the access had to open the segment."""
+    ensure_workers_import(trace.sparkSession)
+    source = trace.select("session", "seq", "segment_id")
+    types = {f.name: f.dataType.simpleString() for f in source.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, state = object(), OpenSegments(budget.open_segments)
+        for pdf in batches:
+            out = []
+            for s, segment in zip(pdf["session"], pdf["segment_id"]):
+                if s != session:
+                    session, state = s, OpenSegments(budget.open_segments)
+                out.append(not state.use(segment))
+            yield pdf.assign(opened=out)
+
+    ordered = source.repartition("session").sortWithinPartitions("session", "seq")
+    return ordered.mapInPandas(run, ", ".join([*(f"{c} {types[c]}" for c in ("session", "seq", "segment_id")), "opened boolean"]))
+
+
 def admission(access):
     """Whether a block of the class is kept at its first access, at its second, or never."""
     return F.when(access == HOT, F.lit("always")).when(access == NORMAL, F.lit("second")).otherwise(F.lit("never"))

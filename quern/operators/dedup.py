@@ -7,21 +7,45 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.classify import accepts
+from quern.schema import RAW
 
 #: Blocks are equal in a release if these are; across releases the access class does not count.
 WITHIN = ("chunk_id", "availability", "access", "plain_len")
 ACROSS = ("chunk_id", "availability")
+_INDEX = ("__len", "__codec", "__segment")
 
 
-def first_in_release(blocks: DataFrame) -> DataFrame:
-    """blocks with is_first: the first of its kind in processing order (path, block_no).
+def _settled(blocks: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """blocks with rep, the place (path, block_no) of the block that serves each of them, early, where
+    that one only stands apart because its policy takes nothing but raw blocks, and origin.
 
-    A policy that accepts raw blocks only cannot share with one that may compress, so the codec
-    policy counts as well where blocks have a codec column.
+    In processing order (path, block_no) the first of a kind serves the later ones. One whose policy
+    takes raw blocks only cannot be served by a block that may be compressed: the first such one is
+    then stored again, raw, and serves all from there on. The codec of the first block is that of the
+    released block that serves it, else that of the column codec, where there is one; where it is not
+    known, it is taken for compressed.
     """
-    key = [*WITHIN, *(["codec"] if "codec" in blocks.columns else [])]
-    firsts = blocks.groupBy(*key).agg(F.min(F.struct("path", "block_no")).alias("__first"))
-    return blocks.join(firsts, key).withColumn("is_first", F.struct("path", "block_no") == F.col("__first")).drop("__first")
+    at = F.struct("path", "block_no")
+    policy = F.col("compression") if "compression" in blocks.columns else F.lit("auto")
+    own = F.col("codec") if "codec" in blocks.columns else F.lit(None).cast("string")
+    kinds = blocks.groupBy(*WITHIN).agg(F.min(at).alias("__first"), F.min(F.when(policy == RAW, at)).alias("__raw"), F.min_by(policy, at).alias("__policy"), F.min_by(own, at).alias("__own"))
+    if index is None:
+        served, codec = F.lit(False), F.col("__own")
+    else:
+        kinds = kinds.join(index.select(*ACROSS, *_INDEX), list(ACROSS), "left")
+        served = F.coalesce(F.col("__segment").isNotNull() & (F.col("__len") == F.col("plain_len")) & accepts(F.col("__policy"), F.col("__codec")), F.lit(False))
+        codec = F.when(served, F.col("__codec")).otherwise(F.col("__own"))
+    apart = F.col("__raw").isNotNull() & (F.col("__raw") != F.col("__first")) & ~codec.eqNullSafe(F.lit(RAW))
+    kinds = kinds.select(*WITHIN, "__first", F.when(apart, F.col("__raw")).alias("__again"), served.alias("__served"), *([F.col("__segment")] if index is not None else []))
+    late = F.col("__again").isNotNull() & (at >= F.col("__again"))
+    rep = F.when(late, F.col("__again")).otherwise(F.col("__first"))
+    joined = blocks.join(kinds, list(WITHIN)).withColumn("rep", rep).withColumn("early", F.when(late, F.col("__first")))
+    return joined.withColumn("origin", F.when(at != F.col("rep"), F.lit("self")).when(F.col("__served") & ~late, F.lit("release")).otherwise(F.lit("new"))).drop("__first", "__again", "__served")
+
+
+def first_in_release(blocks: DataFrame) -> DataFrame:
+    """blocks with is_first: whether a block is stored, or served by an earlier one (see reuse)."""
+    return _settled(blocks).withColumn("is_first", F.col("origin") == "new").drop("rep", "early", "origin")
 
 
 def reuse_index(released: DataFrame) -> DataFrame:
@@ -32,19 +56,28 @@ def reuse_index(released: DataFrame) -> DataFrame:
     return best.select(*ACROSS, "__best.*")
 
 
+def places(blocks: DataFrame, released: DataFrame | None = None) -> DataFrame:
+    """blocks with rep, early, origin and, where released blocks are given, reused_segment_id; see reuse.
+
+    rep is the place (path, block_no) of the block that serves the row; early that of the block that
+    would serve rep too, should it turn out to be raw.
+    """
+    if released is None:
+        return _settled(blocks).withColumn("reused_segment_id", F.lit(None).cast("string"))
+    index = reuse_index(released).select(*ACROSS, F.col("plain_len").alias("__len"), F.col("codec").alias("__codec"), F.col("segment_id").alias("__segment"))
+    ours = _settled(blocks, index)
+    return ours.withColumn("reused_segment_id", F.when(F.col("origin") == "release", F.col("__segment"))).drop("__segment")
+
+
 def reuse(blocks: DataFrame, released: DataFrame) -> DataFrame:
     """blocks with origin: "release" for one that the released blocks serve, "self" for a repeat of
     an earlier one of this release, "new" otherwise; and reused_segment_id, for the first.
 
     A repeat within the release is recognised first, by (chunk, availability, access); the first
     of its kind may then come from the released blocks by (chunk, availability) alone, if their
-    length is equal and the codec policy accepts theirs.
+    length is equal. Either way the codec policy must accept the codec of the block that serves.
     """
-    index = reuse_index(released).select(*ACROSS, F.col("plain_len").alias("__len"), F.col("codec").alias("__codec"), F.col("segment_id").alias("__segment"))
-    ours = first_in_release(blocks).join(index, list(ACROSS), "left")
-    fits = F.col("__segment").isNotNull() & (F.col("__len") == F.col("plain_len")) & accepts(F.col("compression"), F.col("__codec"))
-    origin = F.when(~F.col("is_first"), F.lit("self")).when(fits, F.lit("release")).otherwise(F.lit("new"))
-    return ours.withColumn("origin", origin).withColumn("reused_segment_id", F.when(origin == "release", F.col("__segment"))).drop("__len", "__codec", "__segment")
+    return places(blocks, released).drop("rep", "early")
 
 
 def counts(blocks: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.codec import segment_file
+
 
 def find_assets(assets: DataFrame, wanted: DataFrame) -> DataFrame:
     """The assets of the wanted paths."""
@@ -70,6 +72,25 @@ def read_ranges(requests: DataFrame, assets: DataFrame, block_contents: DataFram
     return got.withColumn("data", F.when(F.col("status") == "ok", F.coalesce("data", F.lit(b"").cast("binary"))))
 
 
+def prefetch_trace(requests: DataFrame, blocks: DataFrame, budget_bytes: int) -> DataFrame:
+    """The accesses (session, seq, block, size, prefetch) by which ranges (request_id, path, offset, n,
+    session) are read ahead: all their blocks in order, but those larger than the budget."""
+    parts = range_blocks(requests, blocks).where(F.col("plain_len") <= budget_bytes)
+    block = F.concat_ws(":", "path", F.col("block_no").cast("string"))
+    return parts.select("session", F.struct("request_id", "block_no").alias("seq"), block.alias("block"), F.col("plain_len").alias("size"), F.lit(True).alias("prefetch"))
+
+
+def slot_capacity(records):
+    """Slots of an open-addressing index of so many records: a power of two, at most half of them taken."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ceil(F.log2(F.greatest(records * 2, F.lit(1)).cast("double"))).cast("int"))
+
+
+def segment_files(segments: DataFrame, files: DataFrame) -> DataFrame:
+    """(segment_id, name, available) of segments: the file (name) that holds each, case apart, if there is one."""
+    named = files.groupBy(F.lower("name").alias("__name")).agg(F.min("name").alias("name"))
+    return segments.select("segment_id").join(named, segment_file(F.col("segment_id")) == F.col("__name"), "left").select("segment_id", "name", F.col("name").isNotNull().alias("available"))
+
+
 def page_of(index: str, page: int) -> tuple:
     """(page number, slot) of a record's index."""
     return F.floor(F.col(index) / page).alias("page_id"), (F.col(index) % page).alias("slot")

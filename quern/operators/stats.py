@@ -54,19 +54,23 @@ def checked_storage(segments: DataFrame, blocks: DataFrame) -> dict[str, int]:
     return row.asDict()
 
 
+#: Characters of a path's digest by which assets are first grouped: 16 ** 8 groups.
+FINGERPRINT_WIDTH = 8
+
+
 def fingerprint(classified: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row (source_fingerprint): a digest of all paths, lengths, classes and chunk ids, in order.
 
     Each asset is digested on its own, from its chunks in order; then the assets' digests are
-    folded in path order, sixteen times a level by leading characters, so that no row grows with
-    the release: the digests of assets are grouped by the digest of their path.
+    folded by the digest of their path: each level takes two characters off, so that some 256 digests
+    meet in a row, whatever the size of the release, once there are more levels than it needs.
     """
     listed = F.transform(F.array_sort(F.collect_list(F.struct("block_no", "chunk_id"))), lambda x: x["chunk_id"])
     ids = chunks.groupBy("path").agg(F.concat_ws(",", listed).alias("ids"))
     fields = ["path", "len", "layout", "access", "availability", "compression", "fixed_block_len"]
     own = F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in fields), F.coalesce("ids", F.lit(""))), 256)
     level = classified.select(*fields).join(ids, "path", "left").select(F.sha2("path", 256).alias("at"), own.alias("digest"))
-    for width in (5, 0):
+    for width in range(FINGERPRINT_WIDTH, -1, -2):
         folded = F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"])
         level = level.groupBy(F.substring("at", 1, width).alias("part")).agg(F.sha2(F.concat_ws(",", folded), 256).alias("digest")).select(F.col("part").alias("at"), "digest")
     return level.select(F.col("digest").alias("source_fingerprint"))

@@ -44,6 +44,21 @@ def segment_mismatches(segments: DataFrame, now: DataFrame) -> DataFrame:
     return segments.select("segment_id").join(now.select("segment_id").distinct(), "segment_id", "left_anti")
 
 
+def repeated_blocks(data: DataFrame) -> DataFrame:
+    """(segment_id, segment_block_ordinal) of blocks that are stored more than once."""
+    return data.groupBy("segment_id", "segment_block_ordinal").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+
+
+def rebuilt_mismatches(assets: DataFrame, blocks: DataFrame, contents: DataFrame) -> DataFrame:
+    """Assets (path) that the contents (path, block_no, content), laid end to end, do not give: blocks
+    are missing or repeated, or the bytes are not as many as the asset has."""
+    want = blocks.groupBy("path").agg(F.count("*").alias("want"))
+    have = contents.groupBy("path").agg(F.count("*").alias("have"), F.count_distinct("block_no").alias("apart"), F.sum(F.octet_length("content").cast("bigint")).alias("bytes"))
+    both = assets.select("path", "len").join(want, "path", "left").join(have, "path", "left")
+    same = lambda a, b: F.coalesce(F.col(a), F.lit(0)) == F.coalesce(F.col(b), F.lit(0))
+    return both.where(~(same("want", "have") & same("want", "apart") & same("len", "bytes"))).select("path")
+
+
 def block_bounds(blocks: DataFrame, segments: DataFrame) -> DataFrame:
     """Blocks whose place lies outside of their segment."""
     joined = blocks.join(segments.select("segment_id", "block_count", "file_len"), "segment_id", "left")
@@ -67,6 +82,9 @@ def catalog_violations(assets: DataFrame, blocks: DataFrame, segments: DataFrame
         rule("encoded length", blocks, ~encoded_len_valid(F.col("codec"), F.col("stored_len"), F.col("plain_len"))),
         rule("block length", blocks, (F.col("plain_len") <= 0) | (F.col("plain_len") > MIB)),
         rule("blocks are contiguous", gaps, F.col("logical_offset") != F.col("want")),
+        rule("segments have ids of their own", segments.groupBy("segment_id").agg(F.count("*").alias("n")), F.col("n") > 1),
+        rule("blocks have places of their own", blocks.groupBy("path", "block_no").agg(F.count("*").alias("n")), F.col("n") > 1),
+        rule("stored blocks have one content", blocks.groupBy("segment_id", "segment_block_ordinal").agg(F.count_distinct("chunk_id", "codec", "plain_len", "physical_offset").alias("n")), F.col("n") > 1),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -81,6 +99,13 @@ def acceptable(releases: DataFrame, at_least: int) -> DataFrame:
     return releases.where(F.col("release_sequence") >= at_least)
 
 
+def rollbacks(offers: DataFrame, seen: DataFrame) -> DataFrame:
+    """Offers (client, release_sequence) older than the newest release that the client has seen, with it as
+    required; a client's first release is trusted."""
+    newest = seen.groupBy("client").agg(F.max("release_sequence").alias("required"))
+    return offers.join(newest, "client").where("release_sequence < required").select("client", "release_sequence", "required")
+
+
 def check_rollback(sequence: int, at_least: int | None) -> None:
     """None trusts the first release seen."""
     if at_least is not None and sequence < at_least:

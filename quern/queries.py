@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +19,10 @@ from quern.functions.paths import is_canonical
 from quern.operators import cache, chunk, dedup, lookup, segments, stats, verify
 from quern.operators.ordering import with_index, with_running
 from quern.plans import diff as D
-from quern.schema import MAP_PAGE, RAW, REUSE_PAGE, SEAL, SEGMENT_HEADER, SMALL
+from quern.plans import pack as P
+from quern.schema import MAP_PAGE, RAW, REUSE_PAGE, SEAL, SEGMENT_HEADER, SMALL, Limits
+from quern.session import ensure_checkpoint_dir
+from quern.sources import bodies, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,13 +58,23 @@ def _diff(s: SparkSession, d: str) -> DataFrame:
 
 @query("src4_catalog", "SELECT path, len, access, layout, availability, compression, fixed_block_len FROM new_c")
 def src4(s, d):
-    return _new(s, d).select("path", "len", "access", "layout", "availability", "compression", "fixed_block_len")
-
-
-@query("src6_segment_sources", ", i AS (SELECT segment_id, segment_no % 2 = 0 AS installed FROM segs) SELECT segment_id, installed FROM i", recursive=True)
+    """Written, committed, opened and checked; then its catalog."""
+    root = f"{ensure_checkpoint_dir(s).removeprefix('file:')}/store-{uuid.uuid4()}"
+    os.makedirs(root)
+    atexit.register(shutil.rmtree, root, True)
+    store.write(V.release(V.new_assets(s, d)), root, "p")
+    store.commit(root, 1)
+    release = store.open_release(s, root, "p", at_least=1)
+    return release.assets.select("path", "len", "access", "layout", "availability", "compression", "fixed_block_len")
+
+
+@query("src6_segment_sources", """, d AS (SELECT segment_id, sha256(segment_id) AS h FROM segs)
+SELECT h AS segment_id, CASE WHEN h < '8' THEN upper(h) || '.SEG' END AS name, h < '8' AS available FROM d""", recursive=True)
 def src6(s, d):
-    _, table = V.placed_blocks(V.new_assets(s, d))
-    return table.select("segment_id", (F.col("segment_no") % 2 == 0).alias("installed"))
+    """Half of the segments have a file, whose name is in capitals; other files stand beside them."""
+    table = V.placed_blocks(V.new_assets(s, d))[1].select(F.sha2("segment_id", 256).alias("segment_id"))
+    names = table.where("segment_id < '8'").select(F.concat(F.upper("segment_id"), F.lit(".SEG")).alias("name"))
+    return lookup.segment_files(table, names.unionByName(s.createDataFrame([("notes.txt",), ("a.seg",)], "name string")))
 
 
 @query("src10_reuse_records", "SELECT path, block_no, chunk_id, availability, plain_len, stored_len, segment_id, segment_block_ordinal FROM refs", recursive=True)
@@ -101,7 +118,9 @@ _scalar("scl4_music_folder", lambda: classify.in_music_folder(F.col("path")), "l
 _scalar("scl5_access", lambda: F.col("access"), "access")
 _scalar("scl6_layout", lambda: F.concat_ws(":", "layout", F.col("fixed_block_len").cast("string")), "layout || ':' || fixed_block_len")
 _scalar("scl7_availability", lambda: F.col("availability"), "availability")
-_scalar("scl9_segment_target", lambda: classify.segment_target(F.col("access"), SMALL), f"{SMALL.segment}::BIGINT")
+_TARGETS = Limits(hot_segment=10_000, normal_segment=30_000, transient_segment=20_000)
+_scalar("scl9_segment_target", lambda: classify.segment_target(F.col("access"), _TARGETS, 25_000), "CASE access WHEN 'hot' THEN 10000 WHEN 'normal' THEN 25000 WHEN 'transient' THEN 20000 ELSE 25000 END::BIGINT")
+_scalar("win9_slot_capacity", lambda: lookup.slot_capacity(F.col("len")), "(SELECT min(c) FROM (SELECT unnest([1::BIGINT << i for i in range(40)]) AS c) WHERE c >= greatest(2 * len, 1))")
 _scalar("scl11_accepts", lambda: classify.accepts(F.col("compression"), F.when(F.col("doc_id") % 2 == 0, RAW).otherwise("zstd")), "compression = 'auto' OR doc_id % 2 = 0")
 _scalar("scl12_stored_len", lambda: classify.stored_len(F.col("len")), f"len + {SEAL}")
 _scalar("scl13_encoded_valid", lambda: classify.encoded_len_valid(F.when(F.col("doc_id") % 2 == 0, RAW).otherwise("zstd"), F.col("len") + F.col("doc_id") % 20, F.col("len")), f"CASE WHEN doc_id % 2 = 0 THEN doc_id % 20 = {SEAL} ELSE len + doc_id % 20 >= {SEAL} AND doc_id % 20 < {SEAL} END")
@@ -141,12 +160,17 @@ def scl23(s, d):
     return V.read(s, d, "documents").select("doc_id", classify.parse_prefixes(text).alias("prefixes"))
 
 
-@query("scl10_codec")
+@query("scl10_codec", "SELECT path, digest, true AS by_rule, CASE compression WHEN 'raw' THEN 'raw' END AS forced FROM all_c")
 def scl10(s, d):
+    """What encoding gives: the content comes back, the codec is the one that the rule asks for."""
+    a = _c(s, d)
+    whole = a.select("path", F.lit(0).cast("bigint").alias("block_no"), F.lit(0).cast("bigint").alias("logical_offset"), F.col("len").alias("plain_len"), codec.chunk_id(F.col("content")).alias("chunk_id"), "compression")
+    out = bodies.encode(whole, a, level=3, least_gain=SMALL.zstd_gain).join(a.select("path", "len", "compression", "content"), "path")
     packed = F.octet_length(codec.zstd_column()(F.col("content"))).cast("bigint")
-    auto = _c(s, d).where("compression = 'auto'").select("path", "len", packed.alias("packed"))
-    chosen = auto.select("path", F.when(F.col("packed") + SMALL.zstd_gain < F.col("len"), "zstd").otherwise(RAW).alias("codec"))
-    return chosen.unionByName(_c(s, d).where("compression = 'raw'").select("path", F.lit(RAW).alias("codec")))
+    out = out.select("path", "codec", "encoded", "len", "compression", packed.alias("packed"))
+    unpacked = out.where("codec = 'zstd'").withColumn("plain", codec.unzstd_column()(F.col("encoded"), F.col("len"))).unionByName(out.where("codec = 'raw'").withColumn("plain", F.col("encoded")))
+    by_rule = F.col("codec") == F.when((F.col("compression") == "auto") & (F.col("packed") + SMALL.zstd_gain < F.col("len")), "zstd").otherwise(RAW)
+    return unpacked.select("path", F.sha2("plain", 256).alias("digest"), by_rule.alias("by_rule"), F.when(F.col("compression") == RAW, F.col("codec")).alias("forced"))
 
 
 @query("scl24_sealed", f"SELECT path, len + {SEAL} AS sealed_len, true AS opens FROM all_assets")
@@ -170,14 +194,36 @@ def chk1(s, d):
     return V.blocks(V.assets(s, d)).select("path", "block_no", "logical_offset", "plain_len", "chunk_id")
 
 
-@query("chk2_content_blocks")
+def _laid(blocks: DataFrame, a: DataFrame, least: int, most: int) -> DataFrame:
+    """For each asset: that its blocks follow each other and are named by their content, that those but the
+    last have least to most bytes, and the digest of what they make up."""
+    piece = F.substring("content", (F.col("logical_offset") + 1).cast("int"), F.col("plain_len").cast("int"))
+    w = W.partitionBy("path").orderBy("block_no")
+    one = blocks.join(a.select("path", "content"), "path").withColumn("piece", piece)
+    one = one.withColumn("begin", F.coalesce(F.lag(F.col("logical_offset") + F.col("plain_len")).over(w), F.lit(0))).withColumn("last", F.lead("block_no").over(w).isNull())
+    fits = (F.col("plain_len") > 0) & (F.col("plain_len") <= most) & (F.col("last") | (F.col("plain_len") >= least))
+    made = one.groupBy("path").agg(
+        F.bool_and((F.col("begin") == F.col("logical_offset")) & (F.sha2("piece", 256) == F.col("chunk_id"))).alias("follow"),
+        F.bool_and(fits).alias("fit"),
+        F.array_sort(F.collect_list(F.struct("block_no", "piece"))).alias("pieces"),
+    )
+    whole = F.aggregate("pieces", F.lit(b"").cast("binary"), lambda x, y: F.concat(x, y["piece"]))
+    return made.select("path", "follow", "fit", F.sha2(whole, 256).alias("digest"))
+
+
+@query("chk2_content_blocks", "SELECT path, true AS follow, true AS fit, digest FROM all_assets WHERE len > 0")
 def chk2(s, d):
-    return chunk.content_chunks(V.assets(s, d).select("path", "content"), SMALL)
+    a = V.assets(s, d)
+    return _laid(chunk.content_chunks(a.select("path", "content"), SMALL), a, SMALL.chunk_min, SMALL.chunk_max)
 
 
-@query("chk3_blocks_by_layout")
+@query("chk3_blocks_by_layout", "SELECT path, layout, true AS follow, true AS fit, digest, CASE layout WHEN 'fixed' THEN (len - 1) // fixed_block_len + 1 END AS blocks FROM all_c WHERE len > 0")
 def chk3(s, d):
-    return chunk.chunks(_c(s, d).select("path", "content", "layout", "fixed_block_len"), SMALL).select("path", "layout", "block_no", "plain_len", "chunk_id")
+    """In one pass over the bodies, as a build cuts them."""
+    a = _c(s, d)
+    made = bodies.cut(a, SMALL)
+    n = made.groupBy("path").agg(F.count("*").alias("n")).join(a.select("path", "layout"), "path").select("path", "layout", F.when(F.col("layout") == "fixed", F.col("n")).alias("blocks"))
+    return _laid(made, a, 1, 16 * SMALL.chunk_max).join(n, "path").select("path", "layout", "follow", "fit", "digest", "blocks")
 
 
 @query("chk4_chunk_order", f", {O.blocks('b', 'new_c')} SELECT row_number() OVER (ORDER BY path, block_no) - 1 AS index, chunk_id FROM b")
@@ -185,10 +231,12 @@ def chk4(s, d):
     return with_index(V.blocks(V.new_assets(s, d)).select("path", "block_no", "chunk_id"), ["path", "block_no"]).select("index", "chunk_id")
 
 
-@query("chk5_lengths", f", {O.blocks('b', 'all_c')} SELECT a.path, a.len, coalesce(sum(plain_len), 0)::BIGINT AS chunked_len FROM all_c a LEFT JOIN b ON a.path = b.path GROUP BY a.path, a.len")
+@query("chk5_lengths", f", {O.blocks('b', 'all_c')} SELECT path, len, chunked_len FROM (SELECT a.path, a.len, coalesce(sum(plain_len), 0)::BIGINT AS chunked_len FROM all_c a LEFT JOIN b ON a.path = b.path AND (b.block_no <> 1 OR a.doc_id % 4 <> 3) GROUP BY a.path, a.len) WHERE len <> chunked_len")
 def chk5(s, d):
-    total = V.blocks(V.assets(s, d)).groupBy("path").agg(F.sum("plain_len").alias("chunked_len"))
-    return V.assets(s, d).select("path", "len").join(total, "path", "left").select("path", "len", F.coalesce("chunked_len", F.lit(0).cast("bigint")).alias("chunked_len"))
+    """The second block of every fourth asset is lost."""
+    a = V.assets(s, d)
+    lost = V.bodies(a).where("block_no <> 1 OR doc_id % 4 <> 3")
+    return chunk.length_mismatches(a, lost)
 
 
 # joins
@@ -225,7 +273,7 @@ r AS (SELECT nf.path, nf.block_no, nf.chunk_id, CASE WHEN NOT is_first THEN 'sel
 def _reused(s, d):
     old = V.blocks(V.old_assets(s, d)).withColumn("segment_id", F.col("path")).withColumn("global_index", F.concat("path", F.lit(":"), F.lpad(F.col("block_no").cast("string"), 9, "0")))
     released = old.select("chunk_id", "availability", "plain_len", "codec", "segment_id", "global_index")
-    return dedup.reuse(V.blocks(V.new_assets(s, d)).drop("codec"), released)
+    return dedup.reuse(V.blocks(V.new_assets(s, d)), released)
 
 
 @query("join4_reuse", _REUSE + " SELECT path, block_no, origin, CASE WHEN origin = 'release' THEN segment_id END AS reused_segment_id FROM r")
@@ -264,11 +312,15 @@ def join8(s, d):
     return dedup.unchanged_since(n.select("path", "len", "mtime", "access", "compression"), cached.select("path", "len", "mtime", "access", "compression", "chunks"), b.select("chunk_id"))
 
 
-@query("join9_segment_headers", "SELECT segment_id, 'block_count' AS field FROM segs WHERE segment_no % 3 = 1", recursive=True)
+@query("join9_segment_headers", """, h AS (SELECT segment_id, count(*) AS block_count, sum(stored_len)::BIGINT AS payload_len FROM placed WHERE plain_len % 7 <> 3 GROUP BY 1),
+  c AS (SELECT segs.*, h.block_count AS n, h.payload_len AS p FROM segs LEFT JOIN h USING (segment_id))
+SELECT segment_id, 'availability' AS field FROM c WHERE n IS NULL UNION ALL SELECT segment_id, 'block_count' FROM c WHERE block_count IS DISTINCT FROM n
+UNION ALL SELECT segment_id, 'payload_len' FROM c WHERE payload_len IS DISTINCT FROM p UNION ALL SELECT segment_id, 'file_len' FROM c WHERE payload_len IS DISTINCT FROM p""", recursive=True)
 def join9(s, d):
-    table = V.placed_blocks(V.new_assets(s, d))[1]
-    headers = table.withColumn("block_count", F.col("block_count") + (F.col("segment_no") % 3 == 1).cast("bigint"))
-    return verify.header_mismatches(headers, table)
+    """Headers of the segments as they are on disk, from which some blocks were lost."""
+    stored = V.stored(V.new_assets(s, d))
+    headers = segments.segment_table(stored.where("plain_len % 7 <> 3")).withColumn("segment_id", V.segment_name())
+    return verify.header_mismatches(headers, segments.segment_table(stored).withColumn("segment_id", V.segment_name()))
 
 
 @query("join10_not_installed", "SELECT segment_id, availability FROM segs WHERE availability = 'required' AND segment_no % 2 <> 0", recursive=True)
@@ -358,6 +410,19 @@ def agg3(s, d):
     return dedup.first_in_release(V.blocks(V.new_assets(s, d))).select("path", "block_no", "is_first")
 
 
+_POLICY = f""", {O.blocks('nb', 'new_c')}, k AS (SELECT *, CASE WHEN compression = 'auto' AND chunk_id < '8' THEN 'zstd' ELSE 'raw' END AS own, (path, lpad(block_no::VARCHAR, 9, '0')) AS place FROM nb),
+g AS (SELECT *, min(place) OVER w AS f, first(own) OVER (PARTITION BY chunk_id, availability, access, plain_len ORDER BY place) AS c, min(CASE WHEN compression = 'raw' THEN place END) OVER w AS r
+  FROM k WINDOW w AS (PARTITION BY chunk_id, availability, access, plain_len))
+SELECT path, block_no, place = f OR (c <> 'raw' AND place = r) AS is_first FROM g"""
+
+
+@query("agg3b_dedup_by_policy", _POLICY)
+def agg3b(s, d):
+    """Half of the chunks stand for those that compress: policies that take raw blocks only store them again."""
+    own = F.when((F.col("compression") == "auto") & (F.col("chunk_id") < "8"), "zstd").otherwise(RAW)
+    return dedup.first_in_release(V.blocks(V.new_assets(s, d)).withColumn("codec", own)).select("path", "block_no", "is_first")
+
+
 @query("agg4_block_counts", _FIRST + " SELECT count(*) AS total_blocks, count(*) FILTER (is_first) AS new_blocks, count(*) FILTER (NOT is_first) AS reused_blocks FROM nf")
 def agg4(s, d):
     return dedup.counts(dedup.first_in_release(V.blocks(V.new_assets(s, d))))
@@ -379,22 +444,30 @@ def agg6(s, d):
     return stats.storage(table, refs)
 
 
-@query("agg7_report", "SELECT (SELECT count(*) FROM new_c) AS files, (SELECT sum(len)::BIGINT FROM new_c) AS source_bytes, (SELECT count(*) FROM nf) AS total_blocks, (SELECT count(*) FROM placed) AS new_blocks, (SELECT count(*) FROM segs) AS segments, (SELECT sum(file_len)::BIGINT FROM segs) AS retained", recursive=True)
-def agg7(s, d):
-    refs, table = V.placed_blocks(V.new_assets(s, d))
-    a = V.new_assets(s, d).agg(F.count("*").alias("files"), F.sum("len").alias("source_bytes"))
-    b = refs.agg(F.count("*").alias("total_blocks"))
-    c = table.agg(F.sum("block_count").alias("new_blocks"), F.count("*").alias("segments"), F.sum("file_len").alias("retained"))
-    return a.crossJoin(b).crossJoin(c)
+_LEVELS = "".join(f""",
+l{w} AS (SELECT substr(place, 1, {w}) AS place, sha256(string_agg(digest, ',' ORDER BY place, digest)) AS digest FROM {f'l{w + 2}' if w < stats.FINGERPRINT_WIDTH else 'own'} GROUP BY 1)""" for w in range(stats.FINGERPRINT_WIDTH, -1, -2))
+_PRINT = f""", cid AS (SELECT path, string_agg(chunk_id, ',' ORDER BY block_no) AS ids FROM nb GROUP BY path),
+own AS (SELECT sha256(path) AS place, sha256(concat_ws('|', path, len::VARCHAR, layout, access, availability, compression, fixed_block_len::VARCHAR, coalesce(ids, ''))) AS digest FROM new_c LEFT JOIN cid USING (path)){_LEVELS}"""
 
 
-_PRINT = """, cid AS (SELECT path, string_agg(chunk_id, ',' ORDER BY block_no) AS ids FROM nb GROUP BY path),
-own AS (SELECT sha256(path) AS place, sha256(concat_ws('|', path, len::VARCHAR, layout, access, availability, compression, fixed_block_len::VARCHAR, coalesce(ids, ''))) AS digest FROM new_c LEFT JOIN cid USING (path)),
-l1 AS (SELECT substr(place, 1, 5) AS place, sha256(string_agg(digest, ',' ORDER BY place, digest)) AS digest FROM own GROUP BY 1)
-SELECT sha256(string_agg(digest, ',' ORDER BY place)) AS source_fingerprint FROM l1"""
+@query("agg7_report", f"""{_PRINT}, u AS (SELECT DISTINCT segment_id, segment_block_ordinal, stored_len FROM refs)
+SELECT true AS changed, 1::BIGINT AS release_sequence, (SELECT sum(len)::BIGINT FROM new_c) AS source_bytes, (SELECT count(*) FROM new_c) AS files, (SELECT count(*) FROM nf) AS total_blocks,
+  (SELECT count(*) FROM placed) AS new_blocks, (SELECT count(*) FROM nf WHERE NOT is_first) AS reused_blocks, (SELECT count(*) FROM segs) AS segments, (SELECT count(*) FROM segs) AS new_segments,
+  (SELECT digest FROM l0) AS source_fingerprint, (SELECT sum(file_len)::BIGINT FROM segs) AS retained, (SELECT sum(stored_len)::BIGINT FROM u) AS referenced,
+  ((SELECT sum(payload_len) FROM segs) - (SELECT sum(stored_len) FROM u))::BIGINT AS stranded""", recursive=True)
+def agg7(s, d):
+    """The report that a build of these blocks makes."""
+    a = V.new_assets(s, d)
+    refs, table = V.placed_blocks(V.new_assets(s, d))
+    settled = dedup.first_in_release(V.blocks(V.new_assets(s, d)))
+    release = V.release(V.new_assets(s, d))
+    n = settled.agg(F.count("*").alias("n"), F.count_if("is_first").alias("new")).first()
+    total = stats.total_bytes(a).first().source_bytes
+    report = P._report(release, True, total, n.n, n.new, n.n - n.new, table.count(), stats.checked_storage(table, refs))
+    return s.createDataFrame([tuple(report.values())], ", ".join(f"{k} {'boolean' if k == 'changed' else 'string' if k == 'source_fingerprint' else 'bigint'}" for k in report))
 
 
-@query("agg8_fingerprint", f", {O.blocks('nb', 'new_c')}" + _PRINT)
+@query("agg8_fingerprint", f", {O.blocks('nb', 'new_c')}" + _PRINT + " SELECT digest AS source_fingerprint FROM l0")
 def agg8(s, d):
     return stats.fingerprint(_new(s, d), V.blocks(V.new_assets(s, d)))
 
@@ -431,10 +504,13 @@ def agg14(s, d):
     return taken.groupBy("access").agg(stats.amplification("plain_len", "take_len"))
 
 
-@query("agg15_segment_digests", "SELECT availability, access, segment_no, sha256(string_agg(chunk_id, ',' ORDER BY segment_block_ordinal)) AS segment_id FROM placed GROUP BY 1, 2, 3", recursive=True)
+_SEGMENT_ID = "sha256(concat_ws('|', 'b1', availability, access, segment_no::VARCHAR, string_agg(chunk_id, ',' ORDER BY segment_block_ordinal)))"
+
+
+@query("agg15_segment_digests", f"SELECT availability, access, segment_no, {_SEGMENT_ID} AS segment_id FROM placed GROUP BY 1, 2, 3", recursive=True)
 def agg15(s, d):
     placed = V.stored(V.new_assets(s, d))
-    return segments.segment_ids(placed.drop("chunk_id"), placed)
+    return segments.segment_ids(placed.drop("chunk_id"), placed, "b1")
 
 
 # ordered computations
@@ -544,9 +620,33 @@ def rt1(s, d):
     return cache.replay(V.trace(s, d), cache.Budget(20_000, 0, 0)).select("session", "block", "source")
 
 
-@query("rt3_admission")
+def _replayed(ahead: bool, probation: int, select: str, only: str = "true") -> str:
+    """SQL of a replay whose budgets are never spent: a session's state is the blocks kept, those read
+    ahead, those that wait for their second access, and the last two of its streams."""
+    return f""", e AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, path AS block, len AS size, access, event_id % 10 = 0 AS prefetch
+  FROM events JOIN all_c ON doc_id = (user_id * 7919 + event_id % 3 * 101) % (SELECT max(doc_id) + 1 FROM documents) WHERE {only}),
+s AS (
+  SELECT DISTINCT session, 0::BIGINT AS rn, ''::VARCHAR AS source, ''::VARCHAR AS access, []::VARCHAR[] AS kept, []::VARCHAR[] AS ahead, []::VARCHAR[] AS waits, NULL::VARCHAR AS older, NULL::VARCHAR AS newer FROM e
+  UNION ALL
+  SELECT e.session, e.rn,
+    CASE WHEN e.prefetch THEN CASE WHEN {ahead} AND size > 0 AND NOT list_contains(kept, block) AND NOT list_contains(ahead, block) THEN 'ahead' ELSE 'skipped' END
+      WHEN e.access = 'streaming' AND (block = coalesce(older, '') OR block = coalesce(newer, '')) THEN 'window'
+      WHEN list_contains(kept, block) THEN 'cache' WHEN list_contains(ahead, block) THEN 'prefetch' ELSE 'backend' END,
+    e.access,
+    CASE WHEN NOT e.prefetch AND NOT list_contains(kept, block) AND NOT list_contains(ahead, block) AND (e.access = 'hot' OR e.access = 'normal' AND list_contains(waits, block)) THEN list_append(kept, block) ELSE kept END,
+    CASE WHEN e.prefetch AND {ahead} AND size > 0 AND NOT list_contains(kept, block) AND NOT list_contains(ahead, block) THEN list_append(ahead, block) ELSE ahead END,
+    CASE WHEN e.prefetch OR e.access <> 'normal' OR list_contains(kept, block) OR list_contains(ahead, block) THEN waits
+      WHEN list_contains(waits, block) THEN list_filter(waits, lambda x: x <> block)
+      ELSE list_append(CASE WHEN len(waits) >= {probation} THEN waits[2:] ELSE waits END, block) END,
+    CASE WHEN e.prefetch OR e.access <> 'streaming' OR block = coalesce(newer, '') THEN older ELSE newer END,
+    CASE WHEN e.prefetch OR e.access <> 'streaming' THEN newer ELSE block END
+  FROM s JOIN e ON s.session = e.session AND e.rn = s.rn + 1)
+{select}"""
+
+
+@query("rt3_admission", _replayed(False, 8, "SELECT access, source, count(*) AS n FROM s WHERE rn > 0 GROUP BY 1, 2"), recursive=True)
 def rt3(s, d):
-    return cache.replay(V.trace(s, d), cache.Budget(20_000, 0, 8)).groupBy("access", "source").agg(F.count("*").alias("n"))
+    return cache.replay(V.trace(s, d), cache.Budget(1 << 40, 0, 8)).groupBy("access", "source").agg(F.count("*").alias("n"))
 
 
 @query("rt4_admission_rule", "SELECT path, CASE access WHEN 'hot' THEN 'always' WHEN 'normal' THEN 'second' ELSE 'never' END AS admission FROM all_c")
@@ -554,28 +654,58 @@ def rt4(s, d):
     return _c(s, d).select("path", cache.admission(F.col("access")).alias("admission"))
 
 
-@query("rt5_prefetch")
+@query("rt2_open_segments", """, e AS (SELECT user_id AS session, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, source AS segment_id
+  FROM events JOIN documents ON doc_id = (user_id * 7919 + event_id % 3 * 101) % (SELECT max(doc_id) + 1 FROM documents)),
+s AS (SELECT DISTINCT session, 0::BIGINT AS event_id, 0::BIGINT AS rn, false AS opened, []::VARCHAR[] AS held FROM e
+  UNION ALL SELECT e.session, e.event_id, e.rn, NOT list_contains(held, segment_id), (list_filter(held, lambda x: x <> segment_id) || [segment_id])[-2:] FROM s JOIN e ON s.session = e.session AND e.rn = s.rn + 1)
+SELECT session, event_id, opened FROM s WHERE rn > 0""", recursive=True)
+def rt2(s, d):
+    """Sources stand for segments, of which two stay open."""
+    docs = V.read(s, d, "documents").select("doc_id", F.col("source").alias("segment_id"))
+    n_docs = docs.agg(F.max("doc_id") + 1).first()[0] or 1
+    e = V.read(s, d, "events").select(F.col("user_id").alias("session"), F.struct("ts", "event_id").alias("seq"), ((F.col("user_id") * 7919 + F.col("event_id") % 3 * 101) % n_docs).alias("doc_id"))
+    return cache.segment_opens(e.join(docs, "doc_id"), cache.Budget(open_segments=2)).select("session", "seq.event_id", "opened")
+
+
+@query("rt5_prefetch", _replayed(True, 8, "SELECT source, count(*) AS n FROM s WHERE rn > 0 GROUP BY 1"), recursive=True)
 def rt5(s, d):
-    return cache.replay(V.trace(s, d), cache.Budget(20_000, 8_000, 8)).groupBy("source").agg(F.count("*").alias("n"))
+    return cache.replay(V.trace(s, d), cache.Budget(1 << 40, 1 << 40, 8)).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("rt7_streaming_window")
+@query("rt5b_prefetch_range", f', {O.REQUESTS}, {_B} SELECT request_id % 50 AS session, request_id, req.path || \':\' || block_no AS block, plain_len AS size FROM req JOIN b ON req.path = b.path AND logical_offset < "offset" + n AND "offset" < logical_offset + plain_len WHERE plain_len <= 1000')
+def rt5b(s, d):
+    asked = V.requests(s, d).withColumn("session", F.col("request_id") % 50)
+    return lookup.prefetch_trace(asked, V.blocks(V.assets(s, d)), 1000).select("session", "seq.request_id", "block", "size")
+
+
+@query("rt7_streaming_window", _replayed(False, 0, "SELECT session, source, count(*) AS n FROM s WHERE rn > 0 GROUP BY 1, 2", "access = 'streaming'"), recursive=True)
 def rt7(s, d):
     return cache.replay(V.trace(s, d).where("access = 'streaming'"), cache.Budget(0, 0, 0)).groupBy("session", "source").agg(F.count("*").alias("n"))
 
 
-@query("rt11_read", _READ)
+@query("rt11_read", """SELECT path, k, CASE WHEN "offset" > len THEN 'out_of_range' ELSE 'ok' END AS status, CASE WHEN "offset" <= len THEN greatest(0, least(n, len - "offset")) END AS bytes
+  FROM (SELECT path, len, k, greatest(0, len + k - 3) AS "offset", k * 2 AS n FROM all_assets, (SELECT unnest([0, 1, 2, 3, 4]) AS k))""")
 def rt11(s, d):
-    return join14(s, d)
+    """Reads about the end of each asset."""
+    a = V.assets(s, d)
+    asked = a.select("path", "len", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    asked = asked.select(F.struct("path", "k").alias("request_id"), "path", F.greatest(F.lit(0), F.col("len") + F.col("k") - 3).cast("bigint").alias("offset"), (F.col("k") * 2).cast("bigint").alias("n"))
+    got = lookup.read_ranges(asked, a.select("path", "len"), V.bodies(a))
+    return got.select("request_id.path", "request_id.k", "status", F.octet_length("data").cast("bigint").alias("bytes"))
 
 
 # integrity
 
 
-@query("int1_segment_content", "SELECT segment_id FROM segs WHERE segment_no % 4 = 1", recursive=True)
+@query("int1_segment_content", f"SELECT segment_id FROM (SELECT segment_no, {_SEGMENT_ID} AS segment_id FROM placed GROUP BY availability, access, segment_no) WHERE segment_no % 4 = 1", recursive=True)
 def int1(s, d):
-    table = V.placed_blocks(V.new_assets(s, d))[1]
-    return verify.segment_mismatches(table, table.where("segment_no % 4 <> 1"))
+    """In every fourth segment the first block is damaged; all contents are hashed again."""
+    stored = V.stored(V.new_assets(s, d))
+    recorded = segments.segment_ids(stored.drop("chunk_id"), stored, "b1")
+    body = stored.join(V.bodies(V.new_assets(s, d)).select("path", "block_no", "content"), ["path", "block_no"])
+    damaged = F.when((F.col("segment_no") % 4 == 1) & (F.col("segment_block_ordinal") == 0), F.concat("content", F.lit(b"x"))).otherwise(F.col("content"))
+    now = body.select("path", "block_no", codec.chunk_id(damaged).alias("chunk_id"))
+    return verify.segment_mismatches(recorded, segments.segment_ids(stored.drop("chunk_id"), now, "b1"))
 
 
 @query("int2_block_content", f", {O.blocks('b', 'new_c')} SELECT path, block_no FROM b WHERE block_no % 5 = 4")
@@ -601,7 +731,10 @@ UNION ALL SELECT 'blocks cover the asset', count(*) FILTER (got <> len) FROM j
 UNION ALL SELECT 'fixed block length', count(*) FILTER (CASE WHEN layout = 'fixed' THEN len > 0 AND fixed_block_len <= 0 ELSE fixed_block_len <> 0 END) FROM j
 UNION ALL SELECT 'encoded length', count(*) FILTER (stored_len <> plain_len + {SEAL}) FROM refs
 UNION ALL SELECT 'block length', count(*) FILTER (plain_len <= 0 OR plain_len > 1048576) FROM refs
-UNION ALL SELECT 'blocks are contiguous', 0"""
+UNION ALL SELECT 'blocks are contiguous', 0
+UNION ALL SELECT 'segments have ids of their own', count(*) - count(DISTINCT segment_id) FROM segs
+UNION ALL SELECT 'blocks have places of their own', count(*) - count(DISTINCT (path, block_no)) FROM refs
+UNION ALL SELECT 'stored blocks have one content', count(*) FROM (SELECT 1 FROM refs GROUP BY segment_id, segment_block_ordinal HAVING count(DISTINCT chunk_id) > 1)"""
 
 
 @query("int5_catalog_rules", _RULES, recursive=True)
@@ -611,19 +744,26 @@ def int5(s, d):
     return verify.catalog_violations(a, refs, table)
 
 
-@query("int6_rollback", "SELECT doc_id AS release_sequence FROM documents WHERE doc_id >= 500")
+@query("int6_rollback", "SELECT * FROM (SELECT c_custkey AS client, c_custkey % 30 AS release_sequence, (SELECT max(event_id % 40) FROM events WHERE user_id = c_custkey) AS required FROM customer) WHERE release_sequence < required")
 def int6(s, d):
-    return verify.acceptable(V.read(s, d, "documents").select(F.col("doc_id").alias("release_sequence")), 500)
+    """Releases offered to customers, some older than what they have seen by the events."""
+    offers = V.read(s, d, "customer").select(F.col("c_custkey").alias("client"), (F.col("c_custkey") % 30).alias("release_sequence"))
+    seen = V.read(s, d, "events").select(F.col("user_id").alias("client"), (F.col("event_id") % 40).alias("release_sequence"))
+    return verify.rollbacks(offers, seen)
 
 
-@query("int8_rebuilt_assets", "SELECT path, true AS same FROM new_assets WHERE len > 0")
+@query("int8_rebuilt_assets", "SELECT path, doc_id % 6 <> 0 AS same, doc_id % 6 = 1 AS found FROM new_assets WHERE len > 0")
 def int8(s, d):
+    """Blocks of every sixth asset are altered, those of every other sixth stored twice."""
     a = V.new_assets(s, d)
-    body = V.blocks(a).join(a.select("path", F.col("content").alias("whole")), "path")
-    piece = F.substring("whole", (F.col("logical_offset") + 1).cast("int"), F.col("plain_len").cast("int"))
-    parts = body.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("block_no", piece.alias("piece")))).alias("parts"))
-    rebuilt = parts.select("path", F.aggregate("parts", F.lit(b"").cast("binary"), lambda x, y: F.concat(x, y["piece"])).alias("rebuilt"))
-    return rebuilt.join(a, "path").select("path", (F.sha2("rebuilt", 256) == F.sha2("content", 256)).alias("same"))
+    body = V.bodies(a)
+    body = body.withColumn("content", F.when((F.col("doc_id") % 6 == 0) & (F.col("block_no") == 0), F.reverse(F.concat(F.col("content").cast("string"), F.lit("!"))).cast("binary")).otherwise(F.col("content")))
+    parts = body.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("block_no", "content"))).alias("parts"))
+    rebuilt = parts.select("path", F.aggregate("parts", F.lit(b"").cast("binary"), lambda x, y: F.concat(x, y["content"])).alias("rebuilt"))
+    same = rebuilt.join(a, "path").select("path", (F.sha2("rebuilt", 256) == F.sha2("content", 256)).alias("same"))
+    whole = V.bodies(a)
+    odd = verify.rebuilt_mismatches(a, V.blocks(a), whole.unionByName(whole.where("doc_id % 6 = 1")))
+    return same.join(odd.withColumn("found", F.lit(True)), "path", "left").select("path", "same", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 @query("int9_bounds", "SELECT path, block_no FROM refs WHERE block_no % 6 = 5", recursive=True)

@@ -4,48 +4,109 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from pathlib import Path
-from urllib.parse import unquote
+from dataclasses import dataclass
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quern.errors import InvalidInput, StalePlan
 from quern.functions.paths import is_canonical
-from quern.session import ensure_workers_import
+from quern.session import ensure_workers_import, written
 
 #: Files that begin so hold keys and must not be packed.
 KEY_MAGIC = b"QRNKEY"
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """Files below root as rows (path, content, len, mtime), path being relative to it.
+LISTING = "path string, file string, len bigint, mtime timestamp, link boolean, key boolean"
+
+
+class Tree(DataSource):
+    """The files below a folder that all executors share, as rows of LISTING: spark.read.format("quern_tree").
 
-    Listing and reading are Spark's: with len and mtime alone no content is read. The reader gives
-    no row for an empty file, so those are taken from its listing; their mtime is null.
+    The driver lists the folder itself and, where that gives few folders, those in it; tasks walk the
+    rest. Links are listed as such and not followed; key: whether the file begins like one of keys.
     """
-    base = Path(root).resolve().as_uri() if "://" not in root else root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(unquote(base) if base.startswith("file:") else base)
-    inside = lambda c: F.substring_index(c, unquote(base.split(":", 1)[1].lstrip("/")) + "/", -1)
-    rows = found.select(inside(F.col("path")).alias("path"), "content", F.col("length").alias("len"), F.col("modificationTime").alias("mtime"))
-    listed = spark.createDataFrame([(unquote(f),) for f in found.inputFiles()], "path string").select(inside(F.col("path")).alias("path"))
-    empty = listed.join(rows.select("path"), "path", "left_anti")
-    return rows.unionByName(empty.select("path", F.lit(b"").alias("content"), F.lit(0).cast("bigint").alias("len"), F.lit(None).cast("timestamp").alias("mtime")))
+
+    @classmethod
+    def name(cls) -> str:
+        return "quern_tree"
+
+    def schema(self) -> str:
+        return LISTING
+
+    def reader(self, schema) -> "TreeReader":
+        return TreeReader(self.options["root"])
+
+
+@dataclass
+class Part(InputPartition):
+    """Files of folders to list, of these alone or of all below."""
+
+    folders: tuple[str, ...]
+    deep: bool
+
+
+class TreeReader(DataSourceReader):
+    def __init__(self, root: str) -> None:
+        self.root = os.path.realpath(root)
+
+    def partitions(self) -> list[Part]:
+        level, above = [self.root], []
+        while level and len(level) < 64 and len(above) < 64:
+            above += level
+            level = [e.path for folder in level for e in os.scandir(folder) if e.is_dir(follow_symlinks=False)]
+        return [Part(tuple(above), False), *(Part((folder,), True) for folder in level)]
+
+    def read(self, partition: Part) -> Iterator[tuple]:
+        for top in partition.folders:
+            for folder, folders, files in os.walk(top):
+                for name in (*files, *(f for f in folders if os.path.islink(os.path.join(folder, f)))):
+                    yield self._row(os.path.join(folder, name))
+                if not partition.deep:
+                    break
+
+    def _row(self, at: str) -> tuple:
+        stat, link = os.lstat(at), os.path.islink(at)
+        begin = b""
+        if not link and stat.st_size >= len(KEY_MAGIC):
+            with open(at, "rb") as f:
+                begin = f.read(len(KEY_MAGIC))
+        return os.path.relpath(at, self.root).replace(os.sep, "/"), at, stat.st_size, datetime.fromtimestamp(stat.st_mtime_ns // 1000 / 1e6, timezone.utc), link, begin == KEY_MAGIC
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """Files below a folder as rows (path, file, len, mtime, link, key), path being relative to it; no
+    content but the beginning of each is read. Bodies of any length are read where they are cut."""
+    ensure_workers_import(spark)
+    spark.dataSource.register(Tree)
+    return spark.read.format("quern_tree").option("root", root).load()
+
+
+def scan(spark: SparkSession, root: str) -> DataFrame:
+    """Files below root as rows (path, content, len, mtime), empty ones too, for what needs contents whole."""
+    rows = listed(spark, root).where("NOT link")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(len(pdf)):
+                one = pdf.iloc[k : k + 1]
+                with open(one["file"].iloc[0], "rb") as f:
+                    yield pd.DataFrame({"path": one["path"], "content": [f.read()], "len": one["len"], "mtime": one["mtime"]})
+
+    return rows.select("path", "file", "len", "mtime").mapInPandas(run, "path string, content binary, len bigint, mtime timestamp")
 
 
 def check_sources(root: str, sources: DataFrame) -> None:
-    """Raises InvalidInput for links below a local root, for paths that are not canonical, and for key files."""
-    for folder, folders, files in os.walk(root):
-        for name in (*folders, *files):
-            if os.path.islink(os.path.join(folder, name)):
-                raise InvalidInput(f"link: {os.path.join(folder, name)}")
-    bad = sources.where(~is_canonical(F.col("path"))).select("path").limit(3).collect()
-    if bad:
-        raise InvalidInput(f"paths are not canonical: {[r.path for r in bad]}")
-    keys = sources.where(F.substring("content", 1, len(KEY_MAGIC)) == F.lit(KEY_MAGIC)).select("path").limit(3).collect()
-    if keys:
-        raise InvalidInput(f"key files: {[r.path for r in keys]}")
+    """Raises InvalidInput for links below root, for paths that are not canonical, and for key files.
+    sources: what listed or scan gave; the folder is listed again by tasks where it gave no marks."""
+    marked = sources if {"link", "key"} <= set(sources.columns) else listed(sources.sparkSession, root)
+    bad = marked.select("path", "link", "key", (~is_canonical(F.col("path"))).alias("odd")).where("link OR key OR odd").limit(3).collect()
+    for what, rows in (("links", [r for r in bad if r.link]), ("paths that are not canonical", [r for r in bad if r.odd]), ("key files", [r for r in bad if r.key])):
+        if rows:
+            raise InvalidInput(f"{what}: {[r.path for r in rows]}")
 
 
 def changed_since(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -91,7 +152,7 @@ def extract(assets: DataFrame, block_contents: DataFrame, target: str) -> DataFr
             done.append((path, size))
         yield pd.DataFrame(done, columns=["path", "bytes"])
 
-    return rows.repartition("path").sortWithinPartitions("path", "block_no").mapInPandas(run, "path string, bytes bigint").checkpoint()
+    return written(rows.repartition("path").sortWithinPartitions("path", "block_no").mapInPandas(run, "path string, bytes bigint"))
 
 
 def import_files(files: list[str], root: str) -> list[str]:

@@ -12,7 +12,7 @@ import os
 import secrets
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from quern.errors import IntegrityError, InvalidFormat
 from quern.sources.files import KEY_MAGIC
@@ -40,6 +40,27 @@ def join(shares: list[bytes]) -> bytes:
     return out
 
 
+class KeySchedule:
+    """The keys of a project, each for one use, derived from its root key."""
+
+    def __init__(self, root: bytes, project: str) -> None:
+        self._master = derive(root, "master", project.encode())
+
+    def segment(self, segment_id: str) -> bytes:
+        return derive(self._master, "segment", segment_id.encode())
+
+    def snapshot(self, sequence: int) -> bytes:
+        return derive(self._master, "snapshot", str(sequence).encode())
+
+    def paths(self) -> bytes:
+        return derive(self._master, "paths")
+
+    def table(self, spark: SparkSession, segment_ids: list[str]) -> DataFrame:
+        """(segment_id, key) of segments; as rows, so that no key stands in a query plan."""
+        rows = [(i, bytearray(self.segment(i))) for i in segment_ids]
+        return spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "segment_id string, key binary")
+
+
 @dataclass(frozen=True)
 class ReaderKeys:
     """What a reader needs: the project, the root key's shares and the publisher's public key, in hex."""
@@ -51,6 +72,9 @@ class ReaderKeys:
     def root(self) -> bytes:
         return join([bytes.fromhex(s) for s in self.shares])
 
+    def schedule(self) -> KeySchedule:
+        return KeySchedule(self.root(), self.project)
+
 
 @dataclass(frozen=True)
 class Publisher:
@@ -68,6 +92,9 @@ class Publisher:
         encoded = lambda key, name: bytes(factory.getKeySpec(key, form(name)).getEncoded()).hex()
         return Publisher(secrets.token_hex(16), secrets.token_hex(32), encoded(pair.getPrivate(), "PKCS8EncodedKeySpec"), encoded(pair.getPublic(), "X509EncodedKeySpec"))
 
+    def schedule(self) -> KeySchedule:
+        return KeySchedule(bytes.fromhex(self.root_key), self.project)
+
     def reader(self) -> ReaderKeys:
         return ReaderKeys(self.project, tuple(s.hex() for s in split(bytes.fromhex(self.root_key))), self.public)
 

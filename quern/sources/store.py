@@ -1,30 +1,37 @@
 """Releases as Parquet tables in a folder, with a pointer to the current one.
 
-    root/release_sequence=N/{assets,blocks,segments,release}    one folder for each release
-    root/CURRENT                                                the sequence in force
+    root/release_sequence=N/{assets,blocks,segments}    one folder for each release
+    root/release_sequence=N/release.json                its head: the length and digest of each file of the tables, signed
+    root/CURRENT                                        the sequence in force
 
 A release is written whole before the pointer moves; what the pointer does not name is not a
-release and may be deleted.
+release and may be deleted. The folder is one that all executors share, as a mounted file system.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import shutil
-from contextlib import contextmanager
 from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.errors import AssetNotFound, BuildLocked, InvalidFormat, OutOfRange
+from quern.errors import AssetNotFound, BuildLocked, IntegrityError, InvalidFormat, OutOfRange
 from quern.operators import lookup, verify
 from quern.plans.pack import Release
+from quern.session import ensure_workers_import
+from quern.sources.identity import Publisher, ReaderKeys
+from quern.sources.identity import verify as check_signature
 
 TABLES = ("assets", "blocks", "segments")
-VERSION = 1
+VERSION = 2
 
 
 def release_dir(root: str, sequence: int) -> str:
@@ -41,14 +48,48 @@ def current(root: str) -> int | None:
         raise InvalidFormat("CURRENT is not a number") from e
 
 
-def write(release: Release, root: str, project: str) -> str:
-    """Writes the tables; the release is not in force before commit."""
+def file_digests(spark: SparkSession, at: str) -> list[list]:
+    """[path, length, SHA-256] of each file of the tables below a release's folder, in order; hashed by tasks."""
+    names = [os.path.relpath(os.path.join(folder, f), at) for t in TABLES for folder, _, files in os.walk(os.path.join(at, t)) for f in files if f.endswith(".parquet")]
+    if not names:
+        return []
+    ensure_workers_import(spark)
+    base = os.path.realpath(at)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name in pdf["name"]:
+                digest, size = hashlib.sha256(), 0
+                with open(os.path.join(base, name), "rb") as f:
+                    while part := f.read(1 << 20):
+                        digest.update(part)
+                        size += len(part)
+                rows.append((name, size, digest.hexdigest()))
+            yield pd.DataFrame(rows, columns=["name", "size", "digest"])
+
+    frame = spark.createDataFrame([(n,) for n in names], "name string").repartition(min(len(names), 64))
+    return sorted([r.name, r["size"], r.digest] for r in frame.mapInPandas(run, "name string, size bigint, digest string").collect())
+
+
+def _message(head: dict) -> bytes:
+    return json.dumps({k: v for k, v in head.items() if k != "signature"}, sort_keys=True).encode()
+
+
+def write(release: Release, root: str, project: str, identity: Publisher | None = None) -> str:
+    """Writes the tables and the head, signed if there is an identity; the release is not in force before commit."""
+    spark = release.assets.sparkSession
     at = release_dir(root, release.sequence)
     release.assets.repartitionByRange("path").sortWithinPartitions("path").write.parquet(f"{at}/assets")
     release.blocks.repartitionByRange("path", "block_no").sortWithinPartitions("path", "block_no").write.parquet(f"{at}/blocks")
     release.segments.write.partitionBy("availability", "access").parquet(f"{at}/segments")
+    head = {"version": VERSION, "project": project, "release_sequence": release.sequence, "source_fingerprint": release.fingerprint, "sealed": identity is not None, "files": file_digests(spark, at)}
+    if identity is not None:
+        head["signature"] = identity.sign(spark, _message(head)).hex()
     with open(f"{at}/release.json", "x") as f:
-        json.dump({"version": VERSION, "project": project, "release_sequence": release.sequence, "source_fingerprint": release.fingerprint}, f)
+        json.dump(head, f)
+        f.flush()
+        os.fsync(f.fileno())
     return at
 
 
@@ -64,9 +105,10 @@ def commit(root: str, sequence: int) -> None:
 
 
 def recover(root: str) -> list[str]:
-    """Deletes what an interrupted build left: a half-written pointer and releases after the current one."""
+    """Deletes what an interrupted build left: a half-written pointer, staged data and releases after the
+    current one; data that no release refers to is for clear_data."""
     now = current(root) or 0
-    gone = [n for n in os.listdir(root) if n == "CURRENT.new" or n.startswith("release_sequence=") and int(n.partition("=")[2]) > now]
+    gone = [n for n in os.listdir(root) if n == "CURRENT.new" or n.startswith("staged-") or n.startswith("release_sequence=") and int(n.partition("=")[2]) > now]
     for n in gone:
         at = os.path.join(root, n)
         shutil.rmtree(at) if os.path.isdir(at) else os.unlink(at)
@@ -87,26 +129,42 @@ def locked(root: str) -> Iterator[None]:
         os.unlink(at)
 
 
-def open_release(spark: SparkSession, root: str, project: str | None = None, at_least: int | None = None) -> "OpenRelease":
-    """The current release, checked against the project and against rollback."""
+def open_release(spark: SparkSession, root: str, project: str | None = None, at_least: int | None = None, keys: Publisher | ReaderKeys | None = None) -> "OpenRelease":
+    """The current release: its signature is checked first, then its files against the head, the project,
+    and rollback. Without keys a release that is signed is read as tables, but its blocks stay sealed."""
     sequence = current(root)
     if sequence is None:
         raise InvalidFormat("no release")
     at = release_dir(root, sequence)
-    with open(f"{at}/release.json") as f:
-        head = json.load(f)
+    try:
+        with open(f"{at}/release.json") as f:
+            head = json.load(f)
+    except (FileNotFoundError, ValueError) as e:
+        raise InvalidFormat("release.json") from e
     if head.get("version") != VERSION or head.get("release_sequence") != sequence:
         raise InvalidFormat("release.json")
+    if keys is not None:
+        try:
+            signature = bytes.fromhex(head.get("signature", ""))
+        except (TypeError, ValueError) as e:
+            raise InvalidFormat("signature") from e
+        check_signature(spark, keys.public, _message(head), signature)
+        verify.check_project(keys.project, head["project"])
+    if file_digests(spark, at) != head["files"]:
+        raise IntegrityError("files of the release are not those that its head names")
     verify.check_rollback(sequence, at_least)
     if project is not None:
         verify.check_project(project, head["project"])
     tables = {t: spark.read.parquet(f"{at}/{t}") for t in TABLES}
-    return OpenRelease(sequence=sequence, fingerprint=head["source_fingerprint"], **tables)
+    return OpenRelease(sequence=sequence, fingerprint=head["source_fingerprint"], sealed=head["sealed"], **tables)
 
 
+@dataclass
 class OpenRelease(Release):
     """A release that is read: listings, lookups and byte ranges."""
 
+    sealed: bool = False
+
     def list_assets(self) -> DataFrame:
         return self.assets.select("file_index", "path", "len", "access").orderBy("file_index")
 

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.classify import segment_target, stored_len, with_classes
-from quern.operators import chunk, dedup, segments
+from quern.operators import chunk, dedup, segments, stats
+from quern.plans.pack import Release
 from quern.schema import KIB, RAW, SMALL
+from quern.session import written
 
 DEFERRED = ("dlc",)
 EXTENSIONS = ("txt", "json", "webp", "opus", "mp4", "wav", "png", "bin")
@@ -55,9 +57,12 @@ def blocks(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """The first block of each kind, with its place in a segment."""
-    first = dedup.first_in_release(blocks(df)).where("is_first").withColumn("target", segment_target(F.col("access"), SMALL))
-    placed = segments.rotate(first)
-    return placed.join(first.select("path", "block_no", "chunk_id", "plain_len", "codec"), ["path", "block_no"])
+    return _stored(blocks(df))
+
+
+def _stored(all_blocks: DataFrame) -> DataFrame:
+    first = written(dedup.first_in_release(all_blocks).where("is_first").withColumn("target", segment_target(F.col("access"), SMALL)))
+    return segments.rotate(first).join(first.select("path", "block_no", "chunk_id", "plain_len", "codec"), ["path", "block_no"])
 
 
 def segment_name() -> Column:
@@ -65,14 +70,29 @@ def segment_name() -> Column:
 
 
 def placed_blocks(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(references, segments) of a release of df, segments named by class and number."""
-    first = stored(df).withColumn("segment_id", segment_name())
+    """(references, segments) of a release of df, segments named by class and number. Contents are hashed once."""
+    every = written(blocks(df))
+    first = written(_stored(every).withColumn("segment_id", segment_name()))
     place = ["segment_id", "segment_block_ordinal", "physical_offset"]
-    refs = blocks(df).join(first.select(*dedup.WITHIN, *place), list(dedup.WITHIN))
+    refs = every.join(first.select(*dedup.WITHIN, *place), list(dedup.WITHIN))
     table = segments.segment_table(first).withColumn("segment_id", segment_name())
     return refs, table
 
 
+def bodies(df: DataFrame) -> DataFrame:
+    """Blocks of assets with their content."""
+    piece = F.substring("whole", (F.col("logical_offset") + 1).cast("int"), F.col("plain_len").cast("int"))
+    return blocks(df).join(df.select("path", "doc_id", F.col("content").alias("whole")), "path").withColumn("content", piece).drop("whole")
+
+
+def release(df: DataFrame) -> Release:
+    """A release of df, of sequence 1."""
+    refs, table = placed_blocks(df)
+    n = refs.groupBy("path").agg(F.count("*").alias("block_count"))
+    counted = classified(df).drop("content", "doc_id").join(n, "path", "left").withColumn("block_count", F.coalesce("block_count", F.lit(0).cast("bigint")))
+    return Release(1, counted, refs, table.drop("segment_no"), stats.fingerprint(classified(df), blocks(df)).first().source_fingerprint)
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte ranges of assets asked for, from the events: (request_id, path, offset, n)."""
     a = assets(spark, sf_dir)
@@ -82,10 +102,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accesses of sessions to assets as whole blocks, in event order."""
+    """Accesses of sessions to assets as whole blocks, in event order: each user goes back to three
+    documents, anywhere in the corpus."""
     a = classified(assets(spark, sf_dir))
     n_docs = a.agg(F.max("doc_id") + 1).first()[0] or 1
     ev = read(spark, sf_dir, "events")
     seq = F.struct("ts", "event_id")
-    e = ev.select(F.col("user_id").alias("session"), seq.alias("seq"), (F.pmod(F.hash("user_id", "event_id"), F.lit(40)) * 5 % n_docs).alias("doc_id"), (F.col("event_id") % 10 == 0).alias("prefetch"))
+    e = ev.select(F.col("user_id").alias("session"), seq.alias("seq"), ((F.col("user_id") * 7919 + F.col("event_id") % 3 * 101) % n_docs).alias("doc_id"), (F.col("event_id") % 10 == 0).alias("prefetch"))
     return e.join(a.select("doc_id", F.col("path").alias("block"), F.col("len").alias("size"), "access"), "doc_id").drop("doc_id")

@@ -189,7 +189,10 @@ def test_reuse_scope(spark):
     ours = spark.createDataFrame([block("a", "hot", "auto"), block("b", "normal", "auto"), block("c", "normal", "raw")], "path string, block_no bigint, logical_offset bigint, plain_len bigint, chunk_id string, access string, availability string, compression string")
     old = spark.createDataFrame([("c", "required", 10, "zstd", "s1", 5), ("c", "required", 10, "raw", "s0", 9)], "chunk_id string, availability string, plain_len bigint, codec string, segment_id string, global_index bigint")
     got = {r.path: (r.origin, r.reused_segment_id) for r in dedup.reuse(ours, old).collect()}
-    assert got == {"a": ("release", "s1"), "b": ("release", "s1"), "c": ("self", None)}
+    # the released block is compressed, which c does not take
+    assert got == {"a": ("release", "s1"), "b": ("release", "s1"), "c": ("new", None)}
+    raw = old.where("codec = 'raw'")
+    assert {r.path: r.origin for r in dedup.reuse(ours, raw).collect()} == {"a": "release", "b": "release", "c": "self"}
 
 
 def test_storage_numbers_and_faults(spark):
@@ -392,3 +395,76 @@ def test_stream_of_files(spark, tmp_path):
     q = incoming(spark, str(tmp_path / "in"), SIZES).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r.path, r.access) for r in spark.table("seen").collect()] == [("a.mp4", "streaming")]
+
+
+def test_rotation_by_leaps_equals_block_by_block(spark):
+    rng = random.Random(4)
+    rows = [(f"p{i:04d}", 0, rng.choice(("r", "d")), rng.choice(("hot", "normal")), rng.choice((1, 10, 40, 99, 100, 101, 250)), 100) for i in range(700)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        df = spark.createDataFrame(rows, "path string, block_no bigint, availability string, access string, stored_len bigint, target bigint")
+        got = {r.path: (r.segment_no, r.segment_block_ordinal, r.physical_offset) for r in segments.rotate(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    state = {}
+    for p, _, a, k, n, target in rows:
+        segment, count, payload = state.get((a, k), (0, 0, 0))
+        if count and payload + n > target:
+            segment, count, payload = segment + 1, 0, 0
+        assert got[p] == (segment, count, 4096 + payload)
+        state[a, k] = (segment, count + 1, payload + n)
+
+
+def test_open_segments_and_ranges_ahead():
+    held = cache.OpenSegments(2)
+    assert [held.use(x) for x in "abacb"] == [False, False, True, False, False]
+    assert not cache.OpenSegments(0).use("a")
+    r = cache.Replay(cache.Budget(100, 50, 2))
+    assert r.prefetch_all([("a", 20), ("b", 20), ("big", 60), ("a", 20)]) == 2 and r.read("a", 20, "transient") == "prefetch"
+
+
+def test_sums_that_overflow_raise(spark):
+    df = spark.createDataFrame([(2**62,), (2**62,)], "len bigint")
+    with pytest.raises(Exception, match="OVERFLOW"):
+        stats.total_bytes(df).collect()
+
+
+def test_bodies_in_files_and_columns_are_cut_alike(spark, tmp_path):
+    from quern.sources import bodies
+
+    rows = [("a.bin", noise(50_000)), ("b.txt", b"hello"), ("empty", b""), ("v.mp4", noise(3000, 2))]
+    for p, c in rows:
+        (tmp_path / p).write_bytes(c)
+    here = classify.with_classes(assets(spark, rows), SMALL)
+    there = classify.with_classes(files.listed(spark, str(tmp_path)), SMALL)
+    cut = lambda df: sorted(tuple(r) for r in bodies.cut(df, SMALL).collect())
+    assert cut(here) == cut(there)
+    old = chunk.chunks(here.select("path", "content", "layout", "fixed_block_len"), SMALL)
+    assert sorted((r.path, r.block_no, r.logical_offset, r.plain_len, r.chunk_id) for r in old.collect()) == [(r[0], *r[4:]) for r in cut(here)]
+    encode = lambda df: sorted((r.path, r.block_no, r.codec, bytes(r.encoded)) for r in bodies.encode(bodies.cut(here, SMALL), df, level=3, least_gain=64).collect())
+    assert encode(here) == encode(there)
+    (tmp_path / "a.bin").write_bytes(noise(50_000, 9))
+    with pytest.raises(Exception, match="changed during the build"):
+        encode(there)
+    (tmp_path / "a.bin").write_bytes(b"short")
+    with pytest.raises(Exception, match="bytes, not"):
+        cut(there)
+
+
+def test_package_is_shipped_as_an_archive(spark):
+    import zipfile
+
+    from quern import session
+
+    at = session.ship(spark)
+    with zipfile.ZipFile(at.removeprefix("file:")) as z:
+        assert "quern/session.py" in z.namelist()
+    assert session.ship(spark) == at
+
+
+def test_keys_have_one_use_each():
+    from quern.sources.identity import KeySchedule
+
+    k = KeySchedule(b"k" * 32, "p")
+    made = [k.segment("a"), k.segment("b"), k.snapshot(1), k.snapshot(2), k.paths(), KeySchedule(b"k" * 32, "q").segment("a")]
+    assert len(set(made)) == 6 and all(len(x) == 32 for x in made) and k.segment("a") == KeySchedule(b"k" * 32, "p").segment("a")
