@@ -4,9 +4,9 @@ Texts and benchmark items are reduced to lower-case letters and digits with sing
 passage within e edits of an item of m characters shares m + 1 - q (e + 1) of its q-grams with
 it at least, all in a band of e + 1 diagonals (place in the text less place in the item). Shared
 q-grams are counted in overlapping bands of diagonals; where a band meets the bound, its region
-is aligned with the item, and kept if the edits are within budget. An item is sought whole and, whatever its
-length, in overlapping windows of PART characters, so that a leaked part is found. An item without
-a q-gram is sought among the texts that are as short.
+is aligned with the item, and kept if the edits are within budget. Items of all lengths are sought in
+overlapping windows of SPAN and of PART characters, the whole being a window where it is shorter,
+so that a leaked part is found. An item without a q-gram is sought among the texts that are as short.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from quern.llm.common import mix, normal, normal_places, prepare, quoted
 Q = 12
 #: Edits allowed for each character of a window, if the lemma allows so many.
 EDIT_RATE = 0.06
-#: Besides whole, items are sought in windows of PART characters, half overlapping: any part of
-#: 3 / 2 PART - 1 characters holds a window.
+#: Characters of the windows in which items are sought, half overlapping; a shorter item is its own
+#: window. Any part of 3 / 2 PART - 1 characters holds a window.
+SPAN = 400
 PART = 100
 #: Items are indexed so many characters at a time; a longer benchmark takes several passes.
 INDEX_CHARS = 2_000_000
@@ -121,7 +122,7 @@ class Index:
     short: dict[tuple[bytes, str], list[int]]
 
 
-def build_index(items: list[tuple], *, q: int = Q, rate: float = EDIT_RATE, part: int = PART) -> Index:
+def build_index(items: list[tuple], *, q: int = Q, rate: float = EDIT_RATE, span: int = SPAN, part: int = PART) -> Index:
     owners: dict[tuple[bytes, str], list[int]] = {}
     short: dict[tuple[bytes, str], list[int]] = {}
     windows: list[np.ndarray] = []
@@ -129,7 +130,7 @@ def build_index(items: list[tuple], *, q: int = Q, rate: float = EDIT_RATE, part
         p = normal(text or "")
         if 0 < len(p) < q:
             short.setdefault((p.tobytes(), p.dtype.str), []).append(k)
-        sizes = {len(p), min(part, len(p))}
+        sizes = {min(span, len(p)), min(part, len(p))}
         cuts = [(s, size) for size in sorted(sizes) for s in sorted({*range(0, len(p) - size, max(1, size // 2)), len(p) - size})]
         for s, size in cuts:
             if size < q or budget(size, q, rate) < 0:

@@ -77,7 +77,7 @@ def test_one_rule_for_items_of_all_lengths(length):
 def test_windows_equal_the_full_table():
     rng = random.Random(9)
     text = lambda n: "".join(rng.choice("abcde ") for _ in range(n))
-    items = [(k, text(rng.choice((20, 60, 130, 210)))) for k in range(6)]
+    items = [(k, text(rng.choice((20, 60, 130, 210, 470)))) for k in range(6)]
     index = decontam.build_index(items)
     for t in range(40):
         item = items[t % 6][1]
@@ -90,8 +90,7 @@ def test_windows_equal_the_full_table():
         want = set()
         for k, i in items:
             w = normal(i)
-            size = min(decontam.PART, len(w))
-            cuts = {(0, len(w))} | {(s, size) for s in {*range(0, len(w) - size, max(1, size // 2)), len(w) - size}}
+            cuts = {(s, size) for size in (min(decontam.PART, len(w)), min(decontam.SPAN, len(w))) for s in {*range(0, len(w) - size, max(1, size // 2)), len(w) - size}}
             if any(decontam.budget(n) >= 0 and n >= decontam.Q and best_place(w[s : s + n].tolist(), p.tolist()) <= decontam.budget(n) for s, n in cuts):
                 want.add(k)
         assert {r[0] for r in decontam.find_leaks(whole, index)} == want
