@@ -129,8 +129,10 @@ def sample_words(docs: DataFrame, most: int = TRAIN_WORDS, text_col: str = "text
     """The `most` words of two to twelve letters, in lower case, that most documents hold, of equals
     the first by name. Whole texts of all documents are counted; a word counts once for a document."""
     tokens = F.array_distinct(F.split(F.lower(quoted(text_col)), "[^a-z0-9_]+"))
-    words = docs.select(F.explode(tokens).alias("w")).where(F.col("w").rlike("^[a-z]{2,12}$"))
-    return [r.w for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most).collect()]
+    short = docs.select(F.explode(tokens).alias("w")).where(F.length("w").between(2, 12))
+    # letters are told from digits once for each word, not for each document
+    words = short.groupBy("w").agg(F.count("*").alias("n")).where(F.col("w").rlike("^[a-z]+$"))
+    return [r.w for r in words.orderBy(F.desc("n"), "w").limit(most).collect()]
 
 
 def scan_secrets(docs: DataFrame, detector: Detector, *, min_chars: int = MIN_CHARS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
