@@ -123,18 +123,19 @@ def sketches(kmers: np.ndarray, factors: np.ndarray, l: int = L) -> np.ndarray:
 
 
 def _least(h: np.ndarray, l: int) -> np.ndarray:
-    """Columns of the l least numbers of each row. Only numbers under a bound that about 4 l pass
-    are sorted; a row of which fewer than l pass is sorted whole."""
-    m, n = h.shape
-    if n <= 16 * l:
+    """Columns of the l least numbers of each row, of equals the first, by as many passes for the least;
+    numbers found are masked meanwhile. Rows that hold the mask itself are sorted."""
+    rows, mask = np.arange(len(h)), np.uint32(0xFFFFFFFF)
+    out, found = np.empty((len(h), l), dtype=np.int64), []
+    for i in range(l):
+        at = h.argmin(axis=1)
+        out[:, i] = at
+        found.append(h[rows, at])
+        h[rows, at] = mask
+    for i in range(l):
+        h[rows, out[:, i]] = np.where(found[i] == mask, h[rows, out[:, i]], found[i])
+    if (found[-1] == mask).any():
         return np.argsort(h, axis=1, kind="stable")[:, :l]
-    row, col = np.nonzero(h < np.uint32((4 * l << 32) // n))
-    order = np.argsort((row.astype(np.uint64) << np.uint64(32)) | h[row, col], kind="stable")
-    per = np.bincount(row, minlength=m)
-    first = np.concatenate(([0], np.cumsum(per)[:-1]))
-    out = col[order[np.minimum(first[:, None] + np.arange(l), len(order) - 1)]]
-    for i in np.flatnonzero(per < l):
-        out[i] = np.argsort(h[i], kind="stable")[:l]
     return out
 
 
