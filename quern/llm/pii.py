@@ -43,6 +43,8 @@ def _letters() -> dict[int, str | None]:
 LETTERS = _letters()
 _ODD = re.compile("[" + "".join(re.escape(chr(i)) for i in sorted(LETTERS)) + "]")
 
+_GONE = re.compile(f"[{_INVISIBLE}]")
+
 _DIGIT_WORDS = (
     ("zero", "oh", "null", "zéro", "cero"),
     ("one", "eins", "un", "uno"),
@@ -144,7 +146,10 @@ def _bare(mapped: Mapped) -> list[Edit]:
 def normalise(text: str) -> Mapped:
     out = Mapped(text)
     if not text.isascii() and _ODD.search(text):
-        out.rewrite([(m.start(), m.end(), LETTERS[ord(m.group())] or "") for m in _ODD.finditer(text)])
+        if _GONE.search(text):
+            out.rewrite([(m.start(), m.end(), LETTERS[ord(m.group())] or "") for m in _ODD.finditer(text)])
+        else:  # one character for one: places stay
+            out.text = text.translate(LETTERS)
     edits: list[Edit] = []
     for run in _SPELLED.finditer(out.text):
         at = run.start()
@@ -247,9 +252,11 @@ def find(text: str, disguised: bool = True) -> list[tuple[str, int, int, str]]:
     return sorted(out, key=lambda x: x[1:3])
 
 
-#: What a text must hold for normalise to change it, and for find to find anything, for a scan of whole batches outside Python.
+#: What a text must hold for normalise to change it, and for find to find anything, for a scan of whole
+#: batches outside Python: SPELLED in any case; ODD as it stands, since some of its letters fold to plain ones.
 _WORDS = "(?:" + "|".join(sorted(DIGITS)) + ")"
-DISGUISED = rf"{_WORDS}[ \t,.\-]+{_WORDS}[ \t,.\-]+{_WORDS}|[\[({{<][ \t]*(?:at|@|arroba|arobase|ät|dot|\.|punkt|punto|point)[ \t]*[\])}}>]|[ \t](?:dot|punkt|punto|point)[ \t]|[ \t](?:at|@|arroba)[ \t]+[^ \t\n\r]+\.[a-z]|" + _ODD.pattern
+SPELLED = rf"{_WORDS}[ \t,.\-]+{_WORDS}[ \t,.\-]+{_WORDS}|[\[({{<][ \t]*(?:at|@|arroba|arobase|ät|dot|\.|punkt|punto|point)[ \t]*[\])}}>]|[ \t](?:dot|punkt|punto|point)[ \t]|[ \t](?:at|@|arroba)[ \t]+[^ \t\n\r]+\.[a-z]"
+ODD = _ODD.pattern
 PLAIN = "[0-9@]"
 
 
@@ -266,7 +273,7 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = [], []
-            odd = pc.match_substring_regex(batch.column(1), DISGUISED, ignore_case=True)
+            odd = pc.or_(pc.match_substring_regex(batch.column(1), SPELLED, ignore_case=True), pc.match_substring_regex(batch.column(1), ODD))
             any_ = pc.or_(odd, pc.match_substring_regex(batch.column(1), PLAIN))
             for i in pc.indices_nonzero(any_).to_pylist():
                 got = find(batch.column(1)[i].as_py(), odd[i].as_py())

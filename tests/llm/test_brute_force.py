@@ -581,3 +581,14 @@ def test_blocks_compare_all_pairs(spark, monkeypatch):
 def test_least_is_checked(spark):
     with pytest.raises(ValueError):
         N.near_duplicates(spark.createDataFrame([], DOCS), least=0)
+
+
+def test_plain_texts_are_not_rewritten(spark, testdata):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pa.array(["plain words, six books and Kings in a row. Is it so?", "SIX SISTERS"] + [r.text for r in documents(spark, testdata).collect()])
+    marked = pc.or_(pc.match_substring_regex(texts, pii.SPELLED, ignore_case=True), pc.match_substring_regex(texts, pii.ODD)).to_pylist()
+    assert not any(marked[:2]) and sum(marked) < len(marked) / 2
+    for t, m in zip(texts.to_pylist(), marked):
+        assert m or pii.normalise(t).text == t
