@@ -358,7 +358,6 @@ def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = writte
 
 #: A table of more rows than this is joined by shuffle, not broadcast.
 BROADCAST_IDS = 2_000_000
-BROADCAST_KEYS = 1_000_000
 
 
 def _hinted(table: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
@@ -386,7 +385,7 @@ def near_duplicates(docs: DataFrame, *, least: float = MIN_SIMILARITY, id_col: s
         own = sketched.join(_hinted(copies.select("id", *same)), ["id", *same], "left_anti")
         exploded = own.select("id", "n", F.posexplode("sketch").alias("band", "part")).select("id", "n", F.xxhash64("band", "part").alias("key"))
         shared = keep(exploded.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("top")).where("rep < top").select("key", "rep"))
-        buckets = keep(exploded.join(_hinted(shared, BROADCAST_KEYS), "key").select("key", "rep", "id", "n").distinct())
+        buckets = keep(exploded.join(shared, "key").select("key", "rep", "id", "n").distinct())
 
         def aligned(likely: DataFrame) -> DataFrame:
             ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
