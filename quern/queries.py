@@ -413,7 +413,7 @@ def agg3(s, d):
 _POLICY = f""", {O.blocks('nb', 'new_c')}, k AS (SELECT *, CASE WHEN compression = 'auto' AND chunk_id < '8' THEN 'zstd' ELSE 'raw' END AS own, (path, lpad(block_no::VARCHAR, 9, '0')) AS place FROM nb),
 g AS (SELECT *, min(place) OVER w AS f, first(own) OVER (PARTITION BY chunk_id, availability, access, plain_len ORDER BY place) AS c, min(CASE WHEN compression = 'raw' THEN place END) OVER w AS r
   FROM k WINDOW w AS (PARTITION BY chunk_id, availability, access, plain_len))
-SELECT path, block_no, place = f OR (c <> 'raw' AND place = r) AS is_first FROM g"""
+SELECT path, block_no, place = f OR (c <> 'raw' AND coalesce(place = r, false)) AS is_first FROM g"""
 
 
 @query("agg3b_dedup_by_policy", _POLICY)
