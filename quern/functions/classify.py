@@ -103,8 +103,18 @@ def encoded_len_valid(codec: Column, stored: Column, plain: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    size = lambda unit, name: F.concat(F.format_string("%.1f", n / F.lit(float(unit))), F.lit(" " + name))
-    return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, size(1 << 10, "KiB")).when(n < 1 << 30, size(1 << 20, "MiB")).otherwise(size(1 << 30, "GiB"))
+    """A length with its unit, to one decimal. Rounded from the exact quotient, ties to the even digit, as printf
+    does; format_string would take ties up and write out a null. Beyond 2^53 the length counts as a double."""
+    m = n.cast("double").cast("bigint")
+
+    def size(bits: int, name: str) -> Column:
+        rest = m.bitwiseAND((1 << bits) - 1) * 10
+        tenths, over = F.shiftright(m, bits) * 10 + F.shiftright(rest, bits), rest.bitwiseAND((1 << bits) - 1)
+        up = (over > 1 << (bits - 1)) | ((over == 1 << (bits - 1)) & (tenths % 2 == 1))
+        tenths = tenths + up.cast("bigint")
+        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" " + name))
+
+    return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, size(10, "KiB")).when(n < 1 << 30, size(20, "MiB")).otherwise(size(30, "GiB"))
 
 
 def with_classes(assets: DataFrame, limits: Limits, deferred: Sequence[str] = ()) -> DataFrame:

@@ -79,6 +79,17 @@ def test_human_sizes(spark):
     assert [r.s for r in df.select(classify.human_size(F.col("n")).alias("s")).collect()] == ["0 B", "1023 B", "1.0 KiB", "1.5 KiB", "1.0 MiB", "5.0 GiB"]
 
 
+def test_human_sizes_round_as_printf_does(spark):
+    """Ties, values beside them, carries into the next digit, lengths that doubles cannot tell apart, and no length."""
+    ties = [(2 * k + 1) << (bits - 2) for bits in (10, 20, 30) for k in (2, 3, 4, 5, 1021, 2046)]
+    sizes = [m for n in ties for m in (n - 1, n, n + 1)] + [1075, 1076, 1047_552, MIB - 1, (1 << 30) - 1, (1 << 53) + 1, (1 << 63) - 1]
+    of = lambda n: next(f"{n / (1 << b):.1f} {unit}" for b, unit in ((10, "KiB"), (20, "MiB"), (30, "GiB")) if b == 30 or n < 1 << (b + 10))
+    df = spark.createDataFrame([(n,) for n in [*sizes, None]], "n bigint")
+    got = [r.s for r in df.select(classify.human_size(F.col("n")).alias("s")).collect()]
+    assert got == [*map(of, sizes), None]
+    assert of(1280) == "1.2 KiB" and of(1792) == "1.8 KiB"
+
+
 # codecs
 
 
