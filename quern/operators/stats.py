@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.errors import IntegrityError
@@ -25,33 +25,45 @@ def storage(segments: DataFrame, blocks: DataFrame) -> DataFrame:
     segment_block_ordinal, stored_len), one for each reference.
     """
     distinct = blocks.groupBy("segment_id", "segment_block_ordinal").agg(F.min("stored_len").alias("stored_len"))
-    referenced = distinct.agg(F.coalesce(F.sum("stored_len"), F.lit(0)).alias("referenced"))
+    return _sums(segments, distinct)
+
+
+def _sums(segments: DataFrame, distinct: DataFrame, *more: Column) -> DataFrame:
+    """One row of storage, for distinct stored blocks referred to, and of more aggregates of those."""
+    referenced = distinct.agg(F.coalesce(F.sum("stored_len"), F.lit(0)).alias("referenced"), *more)
     held = segments.agg(F.coalesce(F.sum("file_len"), F.lit(0)).alias("retained"), F.coalesce(F.sum("payload_len"), F.lit(0)).alias("payload"))
-    return held.crossJoin(referenced).select("retained", "referenced", (F.col("payload") - F.col("referenced")).alias("stranded"))
+    return held.crossJoin(referenced).withColumn("stranded", F.col("payload") - F.col("referenced")).select("retained", "referenced", "stranded", *referenced.columns[1:])
+
+
+def _each(segments: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(segment_id, segment_block_ordinal, stored_len, fault) of the distinct stored blocks referred to. References
+    are brought together once, and only then meet the segments."""
+    each = blocks.groupBy("segment_id", "segment_block_ordinal").agg(F.min("stored_len").alias("stored_len"), F.max("stored_len").alias("__most"))
+    joined = each.join(segments.groupBy("segment_id").agg(F.first("block_count").alias("__count")), "segment_id", "left")
+    fault = (
+        F.when(F.col("__count").isNull(), F.lit("missing segment"))
+        .when(F.col("segment_block_ordinal") >= F.col("__count"), F.lit("missing block"))
+        .when(F.col("stored_len") < F.col("__most"), F.lit("inconsistent length"))
+    )
+    return joined.select("segment_id", "segment_block_ordinal", "stored_len", fault.alias("fault"))
 
 
 def storage_faults(segments: DataFrame, blocks: DataFrame) -> DataFrame:
     """(segment_id, segment_block_ordinal, fault) of references to no segment, to no block of one,
     and of blocks whose references disagree on their length."""
-    joined = blocks.join(segments.select("segment_id", "block_count"), "segment_id", "left")
-    each = joined.groupBy("segment_id", "segment_block_ordinal").agg(F.first("block_count").alias("block_count"), F.count_distinct("stored_len").alias("lengths"))
-    fault = (
-        F.when(F.col("block_count").isNull(), F.lit("missing segment"))
-        .when(F.col("segment_block_ordinal") >= F.col("block_count"), F.lit("missing block"))
-        .when(F.col("lengths") > 1, F.lit("inconsistent length"))
-    )
-    return each.select("segment_id", "segment_block_ordinal", fault.alias("fault")).where("fault IS NOT NULL")
+    return _each(segments, blocks).select("segment_id", "segment_block_ordinal", "fault").where("fault IS NOT NULL")
 
 
 def checked_storage(segments: DataFrame, blocks: DataFrame) -> dict[str, int]:
-    """storage as numbers; raises IntegrityError where it has faults or refers to more than is held."""
-    faults = storage_faults(segments, blocks).limit(3).collect()
-    if faults:
+    """storage as numbers, in one pass over the references; raises IntegrityError where it has faults or refers
+    to more than is held."""
+    row = _sums(segments, _each(segments, blocks), F.count("fault").alias("faults")).first().asDict()
+    if row.pop("faults"):
+        faults = storage_faults(segments, blocks).limit(3).collect()
         raise IntegrityError("; ".join(f"{r.fault}: {r.segment_id}/{r.segment_block_ordinal}" for r in faults))
-    row = storage(segments, blocks).first()
-    if row.stranded < 0:
+    if row["stranded"] < 0:
         raise IntegrityError("blocks refer to more than the segments hold")
-    return row.asDict()
+    return row
 
 
 #: Characters of a path's digest by which assets are first grouped: 16 ** 8 groups.

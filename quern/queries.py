@@ -457,13 +457,10 @@ SELECT true AS changed, 1::BIGINT AS release_sequence, (SELECT sum(len)::BIGINT
   ((SELECT sum(payload_len) FROM segs) - (SELECT sum(stored_len) FROM u))::BIGINT AS stranded""", recursive=True)
 def agg7(s, d):
     """The report that a build of these blocks makes."""
-    a = V.new_assets(s, d)
-    refs, table = V.placed_blocks(V.new_assets(s, d))
-    settled = dedup.first_in_release(V.blocks(V.new_assets(s, d)))
-    release = V.release(V.new_assets(s, d))
-    n = settled.agg(F.count("*").alias("n"), F.count_if("is_first").alias("new")).first()
-    total = stats.total_bytes(a).first().source_bytes
-    report = P._report(release, True, total, n.n, n.new, n.n - n.new, table.count(), stats.checked_storage(table, refs))
+    release, marked = V.marked_release(V.new_assets(s, d))
+    n = marked.agg(F.count("*").alias("n"), F.count_if("is_first").alias("new")).first()
+    total = stats.total_bytes(release.assets).first().source_bytes
+    report = P._report(release, True, total, n.n, n.new, n.n - n.new, release.segments.count(), stats.checked_storage(release.segments, release.blocks))
     return s.createDataFrame([tuple(report.values())], ", ".join(f"{k} {'boolean' if k == 'changed' else 'string' if k == 'source_fingerprint' else 'bigint'}" for k in report))
 
 

@@ -57,11 +57,16 @@ def blocks(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """The first block of each kind, with its place in a segment."""
-    return _stored(blocks(df))
+    return _stored(_marked(df))
 
 
-def _stored(all_blocks: DataFrame) -> DataFrame:
-    first = written(dedup.first_in_release(all_blocks).where("is_first").withColumn("target", segment_target(F.col("access"), SMALL)))
+def _marked(df: DataFrame) -> DataFrame:
+    """blocks of df with is_first. They are settled before they are compared, so that contents are hashed once."""
+    return written(dedup.first_in_release(written(blocks(df))))
+
+
+def _stored(marked: DataFrame) -> DataFrame:
+    first = marked.where("is_first").withColumn("target", segment_target(F.col("access"), SMALL))
     return segments.rotate(first).join(first.select("path", "block_no", "chunk_id", "plain_len", "codec"), ["path", "block_no"])
 
 
@@ -71,10 +76,13 @@ def segment_name() -> Column:
 
 def placed_blocks(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(references, segments) of a release of df, segments named by class and number. Contents are hashed once."""
-    every = written(blocks(df))
-    first = written(_stored(every).withColumn("segment_id", segment_name()))
+    return _placed(_marked(df))
+
+
+def _placed(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    first = written(_stored(marked).withColumn("segment_id", segment_name()))
     place = ["segment_id", "segment_block_ordinal", "physical_offset"]
-    refs = every.join(first.select(*dedup.WITHIN, *place), list(dedup.WITHIN))
+    refs = marked.drop("is_first").join(first.select(*dedup.WITHIN, *place), list(dedup.WITHIN))
     table = segments.segment_table(first).withColumn("segment_id", segment_name())
     return refs, table
 
@@ -87,10 +95,17 @@ def bodies(df: DataFrame) -> DataFrame:
 
 def release(df: DataFrame) -> Release:
     """A release of df, of sequence 1."""
-    refs, table = placed_blocks(df)
+    return marked_release(df)[0]
+
+
+def marked_release(df: DataFrame) -> tuple[Release, DataFrame]:
+    """release, and its blocks with is_first. All tables and the fingerprint come from one pass that hashes contents."""
+    marked = _marked(df)
+    refs, table = map(written, _placed(marked))
     n = refs.groupBy("path").agg(F.count("*").alias("block_count"))
-    counted = classified(df).drop("content", "doc_id").join(n, "path", "left").withColumn("block_count", F.coalesce("block_count", F.lit(0).cast("bigint")))
-    return Release(1, counted, refs, table.drop("segment_no"), stats.fingerprint(classified(df), blocks(df)).first().source_fingerprint)
+    listed = written(classified(df).drop("content", "doc_id"))
+    counted = listed.join(n, "path", "left").withColumn("block_count", F.coalesce("block_count", F.lit(0).cast("bigint")))
+    return Release(1, counted, refs, table.drop("segment_no"), stats.fingerprint(listed, marked).first().source_fingerprint), marked
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

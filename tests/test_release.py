@@ -215,6 +215,36 @@ def test_storage_numbers_and_faults(spark):
             stats.checked_storage(table, refs(rows))
 
 
+def test_storage_reads_the_references_once(spark):
+    table = spark.createDataFrame([("s", 2, 1000, 5096)], "segment_id string, block_count bigint, payload_len bigint, file_len bigint")
+    seen = spark.sparkContext.accumulator(0)
+
+    def length(n):
+        seen.add(1)
+        return n
+
+    refs = spark.createDataFrame([("s", k % 2, 400) for k in range(30)], "segment_id string, segment_block_ordinal bigint, n bigint")
+    refs = refs.select("segment_id", "segment_block_ordinal", F.udf(length, "bigint")("n").alias("stored_len"))
+    assert stats.checked_storage(table, refs) == {"retained": 5096, "referenced": 800, "stranded": 200}
+    assert seen.value == 30
+
+
+def test_report_reads_contents_once(spark, testdata, monkeypatch):
+    from quern import queries as Q
+    from quern import views as V
+
+    d, seen, plain = f"{testdata}/sf0.001", spark.sparkContext.accumulator(0), V.new_assets
+
+    def content(b):
+        seen.add(1)
+        return b
+
+    n, want = plain(spark, d).count(), Q.QUERIES["agg7_report"](spark, d).collect()
+    monkeypatch.setattr(V, "new_assets", lambda s, d: plain(s, d).withColumn("content", F.udf(content, "binary")("content")))
+    assert Q.QUERIES["agg7_report"](spark, d).collect() == want
+    assert seen.value == n
+
+
 # plans
 
 
