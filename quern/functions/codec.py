@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,40 +28,47 @@ def segment_file(segment_id: Column, suffix: str = "seg") -> Column:
     return F.concat(F.lower(segment_id), F.lit("." + suffix))
 
 
+# The codecs are row functions whose rows come pickled, some hundred at a time: an Arrow batch has up to 10,000
+# contents or 64 MiB, of which a worker would hold several copies at once.
+
+
 def zstd_column(level: int = 3):
     """A column function: content compressed with Zstandard; one compressor for each task."""
+    own: list = []
 
-    @F.pandas_udf("binary")
-    def compressed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.udf("binary", useArrow=False)
+    def compressed(b: bytes | None) -> bytes | None:
         import zstandard
 
-        codec = zstandard.ZstdCompressor(level=level)
-        for s in batches:
-            yield s.map(lambda b: None if b is None else codec.compress(b))
+        if not own:
+            own.append(zstandard.ZstdCompressor(level=level))
+        return None if b is None else own[0].compress(b)
 
     return compressed
 
 
 def unzstd_column():
-    """A column function of (encoded, plain_len): the content, which must have just that length."""
+    """A column function of (encoded, plain_len): the content, which must have just that length. Null where both
+    are null."""
+    own: list = []
 
-    @F.pandas_udf("binary")
-    def plain(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.udf("binary", useArrow=False)
+    def plain(encoded: bytes | None, n: int | None) -> bytes | None:
         import zstandard
 
-        codec = zstandard.ZstdDecompressor()
-
-        def one(encoded: bytes, n: int) -> bytes:
-            try:
-                out = codec.decompress(encoded, max_output_size=max(1, int(n)))
-            except zstandard.ZstdError as e:
-                raise IntegrityError(f"block does not decode: {e}") from e
-            if len(out) != n:
-                raise IntegrityError(f"block has {len(out)} bytes, not {n}")
-            return out
-
-        for encoded, n in batches:
-            yield pd.Series([one(e, k) for e, k in zip(encoded, n)], dtype=object)
+        if encoded is None and n is None:
+            return None
+        if encoded is None or n is None:
+            raise IntegrityError("block has no content or no length")
+        if not own:
+            own.append(zstandard.ZstdDecompressor())
+        try:
+            out = own[0].decompress(encoded, max_output_size=max(1, n))
+        except zstandard.ZstdError as e:
+            raise IntegrityError(f"block does not decode: {e}") from e
+        if len(out) != n:
+            raise IntegrityError(f"block has {len(out)} bytes, not {n}")
+        return out
 
     return plain
 

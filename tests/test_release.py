@@ -107,6 +107,18 @@ def test_codecs(spark):
     assert sealed.where(unseal(F.col("s"), key, F.col("iv"), ctx) == F.col("content")).count() == 3
 
 
+def test_codecs_hold_few_contents_at_once(spark):
+    """Rows are not gathered in Arrow batches of up to 10,000 contents; what is null stays null."""
+    df = spark.createDataFrame([(b"x" * 5000, 5000), (b"", 0), (None, None)], "content binary, n bigint")
+    back = df.withColumn("packed", zstd_column()(F.col("content"))).select("content", unzstd_column()(F.col("packed"), F.col("n")).alias("back"))
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("BatchEvalPython") == 2
+    assert back.where(F.col("content").eqNullSafe(F.col("back"))).count() == 3
+    for row in ((None, 3), (b"x", None)):
+        with pytest.raises(Exception, match="no content or no length"):
+            spark.createDataFrame([row], "e binary, n bigint").select(unzstd_column()(F.col("e"), F.col("n"))).collect()
+
+
 # chunking
 
 
